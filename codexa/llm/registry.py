@@ -7,6 +7,8 @@ from importlib import import_module
 _MODULES = {
     "op5_url_filter": "urls",
     "op6_source_mix": "mixing",
+    "op2_ogg_media": "ogg",
+    "op9_quality": "quality",
 }
 
 
