@@ -9,6 +9,8 @@ _MODULES = {
     "op6_source_mix": "mixing",
     "op2_ogg_media": "ogg",
     "op9_quality": "quality",
+    "op7_toxicity": "toxicity",
+    "op10_language": "language",
 }
 
 

@@ -74,15 +74,15 @@ class Words:
         return span_hash(prefix_sums(self.data), self.start, self.end)
 
 
-def scan(texts, lower: bool = True) -> Words:
-    """Find the words of the texts (str or None)."""
+def scan(texts, lower: bool = True, space: np.ndarray = _SPACE) -> Words:
+    """Find the words of the texts (str or None); ``space`` says which of the 256 bytes part words."""
     raw = [x.encode("utf-8", "surrogatepass") if isinstance(x, str) else b"" for x in texts]
     lengths = np.fromiter(map(len, raw), np.int64, len(raw))
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     if lower:
         data = _LOWER[data]
     offset = np.cumsum(lengths + 1) - lengths - 1
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
     start, end = edge[::2], edge[1::2]
     first = np.searchsorted(start, np.r_[offset, len(data)])
