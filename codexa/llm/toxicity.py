@@ -63,9 +63,9 @@ def features(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pairs % WIDTH, np.ones(len(pairs), np.float32), np.r_[0, np.cumsum(np.bincount(pairs // WIDTH, minlength=n))]
 
 
-def fit(texts: list[str], label, swap_weight: float = 1.0, epochs: int = 6, batch: int = 32, l1: float = 0.15, seed: int = 5) -> Ftrl:
+def fit(texts: list[str], label, swap_weight: float = 1.0, epochs: int = 8, batch: int = 32, l1: float = 3.0, seed: int = 5) -> Ftrl:
     """Both classes weigh alike; counterfactual pairs take turns with the batches."""
-    model = Ftrl(WIDTH, 1, alpha=0.5, l1=l1, l2=0.05)
+    model = Ftrl(WIDTH, 1, alpha=1.0, l1=l1, l2=0.05)
     label = np.asarray(label, np.float64)
     if len(set(label)) < 2:
         return model
