@@ -11,6 +11,7 @@ _MODULES = {
     "op9_quality": "quality",
     "op7_toxicity": "toxicity",
     "op10_language": "language",
+    "op4_ngram_jaccard": "jaccard",
 }
 
 
