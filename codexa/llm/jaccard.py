@@ -5,7 +5,7 @@
    (their prefix). Three orders are used: rarest first (by counts over all documents), rarest first in coarse steps with
    other ties, and a random order. Postings of the first order's prefixes find the candidates; a candidate pair
    must share a prefix token under the other two orders as well before its sets are compared.
-3. Pairs within a posting list are never all made. In two rounds each class is compared with one leader of the lists it
+3. Pairs within a posting list are never all made. In a few rounds each class is compared with one leader of the lists it
    stands in (the one it shares most prefix tokens with); links join classes into components. What is left are pairs
    of *different* components, which are all made, filtered and compared, so no link between different texts is lost
    that could change a component.
@@ -28,7 +28,7 @@ from codexa.llm.common import chunks, delete, gather, materialise, pieces, table
 from codexa.llm.graph import connected_components
 from codexa.llm.words import mix, scan, shingles
 
-WIDTH, PIECE, ROUNDS = 1 << 20, 1 << 14, 2
+WIDTH, PIECE, ROUNDS = 1 << 20, 1 << 14, 3
 _MASK = np.uint64((1 << 48) - 1)
 
 
@@ -120,36 +120,73 @@ def postings(owned: DataFrame, shared, percent: int) -> DataFrame:
     return owned.select("n", "class", "tokens").mapInPandas(run, "token long, class long, n long, at long").distinct()
 
 
-def links(pairs: DataFrame, owned: DataFrame, shared, percent: int) -> DataFrame:
-    """(a, b) of classes, each once -> the pairs that link; sets come to ``a`` first, then meet those of ``b``."""
+def links(pairs: DataFrame, owned: DataFrame, shared, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of classes, each once -> the pairs that link, and the table of sets that this reads.
+
+    Sets come to ``a`` first, then meet those of ``b``. A pair whose prefixes under the other two orders are disjoint is
+    dropped before its sets are compared.
+    """
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     kept = owned.select("class", "tokens").join(wanted, "class", "left_semi").groupBy("class").agg(F.first("tokens").alias("tokens"))
-    kept = materialise(kept, "jaccard-sets")
+
+    def orders(frames):
+        for frame in frames:
+            found = [unpack(x) for x in frame["tokens"]]
+            yield frame.assign(**{f"p{o}": [pack(np.sort(prefix(x, shared.value, o, percent))) for x in found] for o in (1, 2)})
+
+    kept = materialise(kept.mapInPandas(orders, "class long, tokens binary, p1 binary, p2 binary"), "jaccard-sets")
 
     def run(frames):
-        counts = shared.value
         last, ready = None, None
         for frame in frames:
             good = np.zeros(len(frame), bool)
-            for i, (b, x, y) in enumerate(zip(frame["b"], frame["x"], frame["y"], strict=True)):
+            for i, (b, x, x1, x2, y, y1, y2) in enumerate(frame[["b", "x", "x1", "x2", "y", "y1", "y2"]].itertuples(index=False, name=None)):
                 if b != last:
-                    last, y_set = b, unpack(y)
-                    ready = y_set, [prefix(y_set, counts, o, percent) for o in (1, 2)]
-                x_set = unpack(x)
-                if any(not np.isin(prefix(x_set, counts, o, percent), p).any() for o, p in zip((1, 2), ready[1], strict=True)):
+                    last, ready = b, (unpack(y), unpack(y1), unpack(y2))
+                if not common(unpack(x1), ready[1]) or not common(unpack(x2), ready[2]):
                     continue
-                both = len(np.intersect1d(x_set, ready[0], assume_unique=True))
+                x_set = unpack(x)
+                both = common(x_set, ready[0])
                 good[i] = 100 * both >= percent * (len(x_set) + len(ready[0]) - both)
             yield frame.loc[good, ["a", "b"]]
 
-    left = pairs.join(kept.select(F.col("class").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(kept.select(F.col("class").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), kept
+    side = lambda name, at: kept.select(F.col("class").alias(at), *(F.col(c).alias(name + n) for c, n in (("tokens", ""), ("p1", "1"), ("p2", "2"))))
+    both = pairs.join(side("x", "a"), "a").join(side("y", "b"), "b")
+    return both.select("a", "b", "x", "x1", "x2", "y", "y1", "y2").mapInPandas(run, "a long, b long"), kept
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many numbers two sorted sets share."""
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return int(np.count_nonzero(a[at] == b)) if len(a) else 0
 
 
-def fits(n, m, percent: int):
-    """Whether sets of these sizes can link at all."""
-    return (F.least(n, m) * 100) >= (F.greatest(n, m) * percent)
+def fits(n, m, at, bt, percent: int):
+    """Whether sets of sizes n and m can link that share a token at places at and bt of the first order.
+
+    For the first token that a pair shares, the tokens from there on bound the overlap; a pair that can link passes at
+    that token, so it is enough to ask this of every shared token by itself.
+    """
+    overlap = F.least(n - at, m - bt)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (overlap * (100 + percent) >= (n + m) * percent)
+
+
+def with_components(live: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Postings with the component of their class; a class without links is its own."""
+    if comps is None:
+        return live.withColumn("comp", F.col("class"))
+    return live.join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+
+
+def joined(pairs: DataFrame, owned: DataFrame, shared, percent: int, edges: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Compare the pairs; all links so far, and the components (class, comp) that they make."""
+    found, kept = links(pairs, owned, shared, percent)
+    found = materialise(found, "jaccard-links")
+    delete(pairs.sparkSession, kept)
+    edges = found if edges is None else edges.unionByName(found)
+    comps = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return edges, materialise(comps.select(F.col("node").alias("class"), F.col("component").alias("comp")), "jaccard-comps")
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -163,37 +200,33 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     delete(spark, posted)
     tidy(spark)
 
-    step = np.log(100 / percent)
+    step, postings_left = np.log(100 / percent), live.count()
     live = live.withColumn("band", F.floor(F.log("n") / F.lit(float(step))))
     edges, comps = None, None
     for turn in range(ROUNDS):
-        now = live.withColumn("comp", F.col("class")) if comps is None else live.join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-        leader = F.min_by(F.struct("class", "n", "comp"), F.xxhash64(F.col("class"), F.lit(turn)))
+        now = with_components(live, comps)
+        leader = F.min_by(F.struct("class", "n", "at", "comp"), F.xxhash64(F.col("class"), F.lit(turn)))
         heads = now.groupBy("token", "band").agg(leader.alias("head"))
-        met = now.join(heads, ["token", "band"]).where((F.col("comp") != F.col("head.comp")) & fits(F.col("n"), F.col("head.n"), percent))
+        met = now.join(heads, ["token", "band"]).where((F.col("comp") != F.col("head.comp")) & fits(F.col("n"), F.col("head.n"), F.col("at"), F.col("head.at"), percent))
         votes = met.groupBy("class", F.col("head.class").alias("head")).agg(F.count(F.lit(1)).alias("votes"))
         best = votes.groupBy("class").agg(F.max_by("head", F.struct("votes", "head")).alias("head"))
         pairs = materialise(best.select(F.col("class").alias("a"), F.col("head").alias("b")), "jaccard-pairs")
-        found, kept = links(pairs, owned, shared, percent)
-        new = materialise(found, "jaccard-links")
-        delete(spark, kept)
-        edges = new if edges is None else edges.unionByName(new)
-        comps = materialise(connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("class"), F.col("component").alias("comp")), "jaccard-comps")
+        edges, comps = joined(pairs, owned, shared, percent, edges)
         tidy(spark)
+        # pairs of different components that stand in one list: stop when they are no more than the postings
+        now = with_components(live, comps).groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+        left = now.groupBy("token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p")).agg(F.sum("p")).first()[0] or 0
+        if left <= postings_left:
+            break
     # what is left: pairs of different components in one list; the tokens shared up to a place bound the overlap
-    now = live.join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    now = with_components(live, comps)
     open_lists = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
     rest = materialise(now.join(open_lists, "token").select("token", "class", "n", "at", "comp"), "jaccard-rest")
     x, y = rest.alias("x"), rest.alias("y")
-    overlap = F.least("x.at", "y.at") + 1 + F.least(F.col("x.n") - F.col("x.at") - 1, F.col("y.n") - F.col("y.at") - 1)
-    possible = overlap * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.comp") != F.col("y.comp"))
-    pairs = x.join(y, apart & fits(F.col("x.n"), F.col("y.n"), percent) & possible).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    pairs = materialise(pairs, "jaccard-pairs")
-    found, kept = links(pairs, owned, shared, percent)
-    edges = edges.unionByName(materialise(found, "jaccard-links"))
-    delete(spark, kept)
-    comps = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("class"), F.col("component").alias("comp"))
+    able = fits(F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at"), percent)
+    pairs = x.join(y, apart & able).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    edges, comps = joined(materialise(pairs, "jaccard-pairs"), owned, shared, percent, edges)
 
     rows = owned.select("doc_id", "n", "class")
     names = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
