@@ -12,6 +12,7 @@ _MODULES = {
     "op7_toxicity": "toxicity",
     "op10_language": "language",
     "op4_ngram_jaccard": "jaccard",
+    "op3_suffix_dedup": "suffixes",
 }
 
 
