@@ -13,6 +13,7 @@ _MODULES = {
     "op10_language": "language",
     "op4_ngram_jaccard": "jaccard",
     "op3_suffix_dedup": "suffixes",
+    "op8_main_text": "extract",
 }
 
 
