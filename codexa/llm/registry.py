@@ -14,6 +14,7 @@ _MODULES = {
     "op4_ngram_jaccard": "jaccard",
     "op3_suffix_dedup": "suffixes",
     "op8_main_text": "extract",
+    "op1_decontaminate": "decontaminate",
 }
 
 
