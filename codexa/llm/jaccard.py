@@ -237,6 +237,19 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """All columns of the documents that stay: of each component the one of least id (a null id comes last).
+
+    Rows are told apart by a hash of id and text; rows equal in both are one document. Documents without words stay.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    names = keyed.select("_row", "doc_id").distinct()
+    found = components(keyed.select(F.col("_row").alias("doc_id"), "text"), k, percent).distinct()
+    joined = found.join(names.select("_row", F.col("doc_id").alias("name")), F.col("doc_id") == F.col("_row"))
+    stay = joined.groupBy("component_id").agg(F.min_by("_row", F.struct(F.col("name").isNull(), "name", "_row")).alias("_row")).select("_row")
+    return keyed.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
+
+
 def query(spark, sf_dir):
     """op4: components of all documents on 4-word shingles at 0.85."""
     return components(table(spark, sf_dir, "documents"), k=4, percent=85)

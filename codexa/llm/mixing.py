@@ -87,6 +87,17 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the mix takes, with all their columns, plus how often (copies), size, target and taken words."""
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    plan = mix(keyed.select(F.col("_row").alias("doc_id"), "source", "text"), **options).where("copies > 0")
+    # equal rows have equal hashes and so the same plan
+    plan = plan.select(F.col("doc_id").alias("_row"), F.col("source").alias("_source"), "size", "source_size", "target", "copies", "taken").distinct()
+    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    same = (keyed["_row"] == plan["_row"]) & keyed["source"].eqNullSafe(plan["_source"])
+    return keyed.join(plan, same).select(*(keyed[c] for c in keep), "size", "source_size", "target", "copies", "taken")
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

@@ -144,6 +144,18 @@ def score(docs: DataFrame, model: Machine, text: str = "text") -> DataFrame:
     return docs.select(*kept, text).mapInPandas(run, schema)
 
 
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents that score at least ``threshold``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def run(frames):
+        for part in chunks(frames):
+            margin = np.clip(shared.value.margin(*features(part["text"])).astype(np.float64), -30, 30)
+            yield part[1 / (1 + np.exp(-margin)) >= threshold]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, score, predicted."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels))

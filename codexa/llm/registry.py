@@ -19,9 +19,15 @@ _MODULES = {
 
 
 def queries() -> dict:
-    return {name: import_module(f"codexa.llm.{module}").query for name, module in _MODULES.items()}
+    import corpus_pipeline
+
+    found = {name: import_module(f"codexa.llm.{module}").query for name, module in _MODULES.items()}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
+    import corpus_pipeline
+
     found = {name: getattr(import_module(f"codexa.llm.{module}"), "ORACLE", None) for name, module in _MODULES.items()}
+    found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return {name: sql for name, sql in found.items() if sql}
