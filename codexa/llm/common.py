@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -55,7 +57,9 @@ def release(spark: SparkSession) -> None:
 
 def tidy(spark: SparkSession) -> None:
     """Ask the driver for a collection, so that shuffle files of finished phases leave the executors' disks."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def fold(doc_id: str | Column, modulus: int) -> Column:

@@ -117,42 +117,33 @@ def postings(owned: DataFrame, shared, percent: int) -> DataFrame:
                     }
                 )
 
-    return owned.select("n", "class", "tokens").mapInPandas(run, "token long, class long, n long, at long").distinct()
+    return owned.select("n", "class", "tokens").mapInPandas(run, "token long, class long, n long, at long")
 
 
-def links(pairs: DataFrame, owned: DataFrame, shared, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of classes, each once -> the pairs that link, and the table of sets that this reads.
+def links(pairs: DataFrame, active: DataFrame, shared, percent: int) -> DataFrame:
+    """(a, b) of classes, each once -> the pairs that link.
 
     Sets come to ``a`` first, then meet those of ``b``. A pair whose prefixes under the other two orders are disjoint is
     dropped before its sets are compared.
     """
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    kept = owned.select("class", "tokens").join(wanted, "class", "left_semi").groupBy("class").agg(F.first("tokens").alias("tokens"))
-
-    def orders(frames):
-        for frame in frames:
-            found = [unpack(x) for x in frame["tokens"]]
-            yield frame.assign(**{f"p{o}": [pack(np.sort(prefix(x, shared.value, o, percent))) for x in found] for o in (1, 2)})
-
-    kept = materialise(kept.mapInPandas(orders, "class long, tokens binary, p1 binary, p2 binary"), "jaccard-sets")
 
     def run(frames):
-        last, ready = None, None
+        counts, last, ready = shared.value, None, None
         for frame in frames:
             good = np.zeros(len(frame), bool)
-            for i, (b, x, x1, x2, y, y1, y2) in enumerate(frame[["b", "x", "x1", "x2", "y", "y1", "y2"]].itertuples(index=False, name=None)):
+            for i, (b, x, y) in enumerate(frame[["b", "x", "y"]].itertuples(index=False, name=None)):
                 if b != last:
-                    last, ready = b, (unpack(y), unpack(y1), unpack(y2))
-                if not common(unpack(x1), ready[1]) or not common(unpack(x2), ready[2]):
-                    continue
+                    last, y_set = b, unpack(y)
+                    ready = y_set, [np.sort(prefix(y_set, counts, o, percent)) for o in (1, 2)]
                 x_set = unpack(x)
+                if not all(common(p, prefix(x_set, counts, o, percent)) for o, p in zip((1, 2), ready[1], strict=True)):
+                    continue
                 both = common(x_set, ready[0])
                 good[i] = 100 * both >= percent * (len(x_set) + len(ready[0]) - both)
             yield frame.loc[good, ["a", "b"]]
 
-    side = lambda name, at: kept.select(F.col("class").alias(at), *(F.col(c).alias(name + n) for c, n in (("tokens", ""), ("p1", "1"), ("p2", "2"))))
-    both = pairs.join(side("x", "a"), "a").join(side("y", "b"), "b")
-    return both.select("a", "b", "x", "x1", "x2", "y", "y1", "y2").mapInPandas(run, "a long, b long"), kept
+    side = lambda name, at: active.select(F.col("class").alias(at), F.col("tokens").alias(name))
+    return pairs.join(side("x", "a"), "a").join(side("y", "b"), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -172,6 +163,19 @@ def fits(n, m, at, bt, percent: int):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (overlap * (100 + percent) >= (n + m) * percent)
 
 
+def once(owned: DataFrame) -> DataFrame:
+    """(class, tokens): each class's set, named once by a task; so copies don't travel."""
+
+    def run(frames):
+        seen: set[int] = set()
+        for frame in frames:
+            fresh = ~(frame["class"].duplicated() | frame["class"].isin(seen))
+            seen.update(frame["class"][fresh])
+            yield frame[fresh]
+
+    return owned.select("class", "tokens").mapInPandas(run, "class long, tokens binary")
+
+
 def with_components(live: DataFrame, comps: DataFrame | None) -> DataFrame:
     """Postings with the component of their class; a class without links is its own."""
     if comps is None:
@@ -179,11 +183,9 @@ def with_components(live: DataFrame, comps: DataFrame | None) -> DataFrame:
     return live.join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
 
 
-def joined(pairs: DataFrame, owned: DataFrame, shared, percent: int, edges: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def joined(pairs: DataFrame, active: DataFrame, shared, percent: int, edges: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Compare the pairs; all links so far, and the components (class, comp) that they make."""
-    found, kept = links(pairs, owned, shared, percent)
-    found = materialise(found, "jaccard-links")
-    delete(pairs.sparkSession, kept)
+    found = materialise(links(pairs, active, shared, percent), "jaccard-links")
     edges = found if edges is None else edges.unionByName(found)
     comps = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     return edges, materialise(comps.select(F.col("node").alias("class"), F.col("component").alias("comp")), "jaccard-comps")
@@ -194,10 +196,18 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     owned = materialise(sets(docs, k), "jaccard-owned")
     shared = spark.sparkContext.broadcast(token_counts(owned))  # WIDTH counts, whatever the input
+    meta = materialise(owned.select("doc_id", "n", "class"), "jaccard-meta")
     posted = materialise(postings(owned, shared, percent), "jaccard-postings")
     several = posted.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("token")
-    live = materialise(posted.join(several, "token"), "jaccard-live")
+    live = materialise(posted.join(several, "token").distinct(), "jaccard-live")
     delete(spark, posted)
+    del several, posted
+    tidy(spark)
+    # only classes that share a prefix token with another can link: theirs are the sets that are kept
+    kept = once(owned).join(live.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("tokens").alias("tokens"))
+    active = materialise(kept, "jaccard-active")
+    delete(spark, owned)
+    del kept
     tidy(spark)
 
     step, postings_left = np.log(100 / percent), live.count()
@@ -211,7 +221,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         votes = met.groupBy("class", F.col("head.class").alias("head")).agg(F.count(F.lit(1)).alias("votes"))
         best = votes.groupBy("class").agg(F.max_by("head", F.struct("votes", "head")).alias("head"))
         pairs = materialise(best.select(F.col("class").alias("a"), F.col("head").alias("b")), "jaccard-pairs")
-        edges, comps = joined(pairs, owned, shared, percent, edges)
+        edges, comps = joined(pairs, active, shared, percent, edges)
         tidy(spark)
         # pairs of different components that stand in one list: stop when they are no more than the postings
         now = with_components(live, comps).groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -226,9 +236,9 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.comp") != F.col("y.comp"))
     able = fits(F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at"), percent)
     pairs = x.join(y, apart & able).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    edges, comps = joined(materialise(pairs, "jaccard-pairs"), owned, shared, percent, edges)
+    edges, comps = joined(materialise(pairs, "jaccard-pairs"), active, shared, percent, edges)
 
-    rows = owned.select("doc_id", "n", "class")
+    rows = meta
     names = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     names = names.join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     lowest = names.groupBy("comp").agg(F.min("least").alias("component_id"))
