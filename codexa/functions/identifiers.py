@@ -99,4 +99,4 @@ def keyword_parts(text: Column) -> Column:
     for mark in (";", "·", "•", ",", "\n"):
         parts = F.split(body, f"[{mark}]")
         out = F.when(F.size(parts) > 2, parts) if out is None else out.when(F.size(parts) > 2, parts)
-    return F.filter(F.transform(out.otherwise(F.array(body)), F.trim), lambda x: x != "")
+    return F.filter(F.transform(out.otherwise(F.array(body)), lambda x: F.trim(x)), lambda x: x != "")

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codexa.plans import structure_queries, text_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+_PARTS = (text_queries, structure_queries)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.SQL.items() if sql}
