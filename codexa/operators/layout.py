@@ -15,12 +15,12 @@ def united(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def line_boxes(tokens: DataFrame, keys: Sequence[str], order: str, drop: float = 4, gap: float = 15) -> DataFrame:
+def line_boxes(tokens: DataFrame, keys: Sequence[str], order: Sequence[str], drop: float = 4, gap: float = 15) -> DataFrame:
     """Boxes of runs of tokens on one line: the next token joins if it is less than ``drop`` higher or lower and 0 to ``gap`` ahead."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    w = Window.partitionBy(*keys).orderBy(*order)
     ahead = F.col("x") - F.lag(F.col("x") + F.col("w")).over(w)
     joins = (F.abs(F.col("y") - F.lag("y").over(w)) < drop) & (ahead >= 0) & (ahead < gap)
-    marked = tokens.withColumn("_new", F.coalesce(~joins, F.lit(True)).cast("int")).withColumn("line", F.sum("_new").over(w)).drop("_new")
+    marked = tokens.withColumn("_new", F.coalesce(~joins, F.lit(True)).cast("int")).withColumn("line", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
     return united(marked, [*keys, "line"])
 
 

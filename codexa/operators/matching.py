@@ -83,19 +83,23 @@ def _matched(a: str, b: str) -> int:
     return total
 
 
-@F.pandas_udf("double")
-def ratcliff_obershelp(a, b):
-    """Twice the matched characters over all characters, without regard to case."""
-    import pandas as pd
-
-    out = []
-    for x, y in zip(a, b, strict=True):
-        if x is None or y is None or not len(x) or not len(y):
-            out.append(0.0)
-        else:
-            x, y = x.lower(), y.lower()
-            out.append(1.0 if x == y else 2.0 * _matched(x, y) / (len(x) + len(y)))
-    return pd.Series(out, dtype="float64")
+def ratcliff_obershelp(a: Column, b: Column) -> Column:
+    """Twice the matched characters over all characters, without regard to case; 0 where a side is null or empty."""
+
+    @F.pandas_udf("double")
+    def run(left, right):
+        import pandas as pd
+
+        out = []
+        for x, y in zip(left, right, strict=True):
+            if x is None or y is None or not len(x) or not len(y):
+                out.append(0.0)
+            else:
+                x, y = x.lower(), y.lower()
+                out.append(1.0 if x == y else 2.0 * _matched(x, y) / (len(x) + len(y)))
+        return pd.Series(out, dtype="float64")
+
+    return run(a, b)
 
 
 def assigned_emails(authors: DataFrame, emails: DataFrame, key: str) -> DataFrame:
