@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from codexa.llm.common import chunks, gather, materialise, pieces, table
 from codexa.llm.words import scan
 
-WIDTH, RANK, EXTRA, BLOCK, PIECE = 1 << 15, 40, 8, 24, 1 << 12
-COSINE, OVERLAP, PARAPHRASE, MIN_WORDS, MAX_ITEMS = 0.4, 0.75, 0.55, 8, 100_000
+WIDTH, RANK, EXTRA, BLOCK, PIECE = 1 << 15, 64, 8, 24, 1 << 12
+COMMON = 0.05
+COSINE, OVERLAP, PARAPHRASE, MIN_WORDS, MAX_ITEMS = 0.5, 0.75, 0.55, 8, 100_000
 
 _EDGE = np.ones(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -76,8 +77,11 @@ def frequencies(owned: DataFrame) -> tuple[np.ndarray, int]:
         total = np.zeros(WIDTH + 1, np.int64)
         for frame in _small(frames):
             h, first = _flat(frame)
-            doc = np.repeat(np.arange(len(frame)), np.diff(first))
-            total[:WIDTH] += np.bincount(np.unique(doc * WIDTH + column(h)) % WIDTH, minlength=WIDTH)
+            col = column(h)
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                seen = np.zeros(WIDTH, bool)
+                seen[col[a:b]] = True
+                total[:WIDTH] += seen
             total[WIDTH] += len(frame)
         if total[WIDTH]:
             yield pieces(total, PIECE)
@@ -102,6 +106,19 @@ def passages(block_rows: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return block_rows + nxt * more[:, None]
 
 
+def block_sums(table: np.ndarray, h: np.ndarray, start: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """For each block the sum of its words' rows of ``table``; words of columns that aren't used weigh nothing."""
+    col = column(h)
+    keep = used[col]
+    begin = (np.cumsum(keep) - keep)[start]
+    col = col[keep]
+    full = np.diff(np.r_[begin, len(col)]) > 0
+    out = np.zeros((len(start), table.shape[1]), table.dtype)
+    if full.any():
+        out[full] = np.add.reduceat(table[col], begin[full], axis=0)
+    return out
+
+
 def signs(n: int, width: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2, (n, width), dtype=np.int8) * 2 - 1
 
@@ -126,8 +143,12 @@ def sketch(owned: DataFrame, weights, width: int) -> np.ndarray:
             sizes = np.diff(np.r_[start, len(h)])
             # words sorted by column: one sum of sign rows for each column
             col = column(h)
+            keep = weights.value[col] > 0
+            col, block = col[keep], np.repeat(np.arange(len(start)), sizes)[keep]
+            if not len(col):
+                continue
             order = np.argsort(col.astype(np.uint16), kind="stable")
-            block = np.repeat(np.arange(len(start)), sizes)[order]
+            block = block[order]
             cols, at = np.unique(col[order], return_index=True)
             total[:, cols] += np.add.reduceat(s[block], at, axis=0).T
         if total.any():
@@ -142,7 +163,7 @@ def _project(frame, rows: np.ndarray):
     start, doc = blocks_of(first)
     if not len(start):
         return np.zeros((0, rows.shape[1]), np.float32), start, doc, h, first
-    return passages(np.add.reduceat(rows[column(h)], start, axis=0), doc), start, doc, h, first
+    return passages(block_sums(rows, h, start, rows.any(axis=1)), doc), start, doc, h, first
 
 
 def gram(owned: DataFrame, basis) -> np.ndarray:
@@ -163,7 +184,9 @@ def latent(owned: DataFrame, rank: int = RANK, extra: int = EXTRA) -> tuple[np.n
     """(WIDTH x rank) from TF-IDF columns to whitened latent coordinates (idf included), and the singular values."""
     spark = owned.sparkSession
     df, n = frequencies(owned)
-    idf = np.log((1 + n) / (1 + df))
+    # words of many documents say little about a passage and would fill the first directions: they weigh less, and nothing at last
+    share = df / max(n, 20)
+    idf = np.where(share > 4 * COMMON, 0.0, np.log((1 + n) / (1 + df)) * np.minimum(1, COMMON / np.maximum(share, 1e-12)))
     weights = spark.sparkContext.broadcast(idf)
     q, _ = np.linalg.qr(sketch(owned, weights, rank + extra).T)
     basis = spark.sparkContext.broadcast((q * idf[:, None]).astype(np.float32))
@@ -213,16 +236,20 @@ def items_of(benchmark: DataFrame, limit: int = MAX_ITEMS) -> list[tuple[int, np
     return out
 
 
-def queries_of(items, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of the items, or of their pieces of a passage's length, and whose each is."""
-    vectors, owner = [], []
+def queries_of(items, rows: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors of the items, or of their pieces of a passage's length, whose each is, and the cosine asked of it.
+
+    An item shorter than a passage fills only a part of it, so less is asked: in proportion to the root of its share.
+    """
+    vectors, owner, asked = [], [], []
     for k, (_, words, _) in enumerate(items):
         parts = [words] if len(words) <= 3 * BLOCK else [words[i : i + 2 * BLOCK] for i in range(0, len(words) - BLOCK, BLOCK)]
         for part in parts:
             v = rows[column(part)].sum(0)
             vectors.append(v / max(float(np.linalg.norm(v)), 1e-9))
             owner.append(k)
-    return np.array(vectors, np.float32).reshape(-1, rows.shape[1]), np.array(owner, np.int64)
+            asked.append(cosine * min(1.0, len(part) / (2 * BLOCK)) ** 0.5)
+    return np.array(vectors, np.float32).reshape(-1, rows.shape[1]), np.array(owner, np.int64), np.array(asked, np.float32)
 
 
 def search(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, overlap: float = OVERLAP, paraphrase: float = PARAPHRASE) -> DataFrame:
@@ -234,16 +261,11 @@ def search(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, overla
         return spark.createDataFrame([], shape)
     owned = materialise(streams(docs), "passage-words")
     rows, _ = latent(owned)
-    vectors, owner = queries_of(items, rows)
-    shared = spark.sparkContext.broadcast((rows, vectors, owner, items))
+    vectors, owner, asked = queries_of(items, rows, cosine)
+    shared = spark.sparkContext.broadcast((rows, vectors, owner, asked, items))
 
-    def check(words: np.ndarray, at: int, item):
+    def check(words: np.ndarray, low: int, high: int, item):
         _, wanted, answer = item
-        low, high = max(0, at - len(wanted)), at + 2 * BLOCK + len(wanted)
-        near = words[low:high]
-        near = near[np.isin(near, wanted)]  # other words can't add to a common subsequence
-        if len(near) < paraphrase * len(wanted):
-            return None
         if len(wanted) < MIN_WORDS:
             return (len(wanted), True) if holds(words[low:high], wanted) else None
         # the words of a window a little longer than the item, best of half-overlapping ones
@@ -262,24 +284,30 @@ def search(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, overla
     def run(frames):
         import pandas as pd
 
-        rows, vectors, owner, items = shared.value
+        rows, vectors, owner, asked, items = shared.value
+        kinds = [set(words.tolist()) for _, words, _ in items]
+        # an item's words that a common subsequence misses are at most this share, so the others must stand near
+        least = [len(kind) - (1 - paraphrase) * len(words) if len(words) >= MIN_WORDS else len(kind) for kind, (_, words, _) in zip(kinds, items, strict=True)]
         for frame in _small(frames):
             p, start, doc, h, first = _project(frame, rows)
             if not len(p):
                 continue
             p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
             out: dict[tuple[int, int], tuple] = {}
+            listed = h.tolist()
             for a in range(0, len(p), 4096):
-                near, which = np.nonzero(p[a : a + 4096] @ vectors.T >= cosine)
-                for passage, k in sorted({(int(x) + a, int(owner[y])) for x, y in zip(near, which, strict=True)}):
-                    d = int(doc[passage])
-                    words = h[first[d] : first[d + 1]]
-                    found = check(words, int(start[passage] - first[d]), items[k])
-                    if found and ((d, k) not in out or found[0] > out[d, k][1]):
-                        out[d, k] = (int(start[passage] - first[d]), *found)
+                near, which = np.nonzero(p[a : a + 4096] @ vectors.T >= asked)
+                for passage, k in set(zip((near + a).tolist(), owner[which].tolist(), strict=True)):
+                    d, at, reach = int(doc[passage]), int(start[passage]), len(items[k][1])
+                    low, high = max(int(first[d]), at - reach), min(int(first[d + 1]), at + 2 * BLOCK + reach)
+                    if len(kinds[k].intersection(listed[low:high])) < least[k]:
+                        continue
+                    found = check(h, low, high, items[k])
+                    if found and ((d, k) not in out or (found, -at) > (out[d, k][1:], -out[d, k][0])):
+                        out[d, k] = (at, *found)
             if out:
                 ids = frame["doc_id"].to_list()
-                yield pd.DataFrame([(ids[d], items[k][0], x[0], x[1], len(items[k][1]), bool(x[2])) for (d, k), x in out.items()], columns=["doc_id", "item_id", "place", "common", "item_words", "answer"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame([(ids[d], items[k][0], x[0] - int(first[d]), x[1], len(items[k][1]), bool(x[2])) for (d, k), x in out.items()], columns=["doc_id", "item_id", "place", "common", "item_words", "answer"]).astype({"doc_id": "Int64"})
 
     return owned.mapInPandas(run, shape)
 
