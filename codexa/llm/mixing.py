@@ -93,9 +93,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     plan = mix(keyed.select(F.col("_row").alias("doc_id"), "source", "text"), **options).where("copies > 0")
     # equal rows have equal hashes and so the same plan
     plan = plan.select(F.col("doc_id").alias("_row"), F.col("source").alias("_source"), "size", "source_size", "target", "copies", "taken").distinct()
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    same = (keyed["_row"] == plan["_row"]) & keyed["source"].eqNullSafe(plan["_source"])
-    return keyed.join(plan, same).select(*(keyed[c] for c in keep), "size", "source_size", "target", "copies", "taken")
+    base = keyed.drop("size", "source_size", "target", "copies", "taken")  # columns of these names give way to the mix's
+    same = (base["_row"] == plan["_row"]) & base["source"].eqNullSafe(plan["_source"])
+    return base.join(plan, same).drop(base["_row"], plan["_row"], plan["_source"])
 
 
 ORACLE = r"""
