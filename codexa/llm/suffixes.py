@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.common import chunks, materialise, table, tidy
+from codexa.llm.common import chunks, delete, materialise, table, tidy
 from codexa.llm.words import mix, prefix_sums, span_hash
 
 LENGTH, GRAM, PERIOD = 200, 48, 64
@@ -174,6 +174,17 @@ def sort_block(frame, length: int):
     """Fragments of whole buckets -> spans of repeated windows, in their documents' positions."""
     import pandas as pd
 
+    # fragments equal as a whole are repeats as a whole; one of them goes into the sort for the others to meet
+    whole = [d + a.to_bytes(2, "big") for d, a in zip(frame["data"], frame["anchor"].tolist(), strict=True)]
+    codes, kept = pd.factorize(np.array(whole, object))
+    alike = np.bincount(codes, minlength=len(kept))[codes] > 1
+    copies = frame[alike]
+    twin = pd.DataFrame({"row": copies["row"].to_numpy(), "start": copies["first"].to_numpy(), "stop": copies["first"].to_numpy() + copies["data"].str.len().to_numpy(np.int64)})
+    frame = frame[~pd.Series(codes).duplicated().to_numpy()]
+    several = frame["gram"].duplicated(keep=False)  # a k-gram with one kind of fragment has nothing more to sort
+    frame = frame[several]
+    if not len(frame):
+        return twin
     data = np.frombuffer(b"".join(frame["data"]), np.uint8)
     size = frame["data"].str.len().to_numpy(np.int64)
     windows = size - length + 1
@@ -189,7 +200,8 @@ def sort_block(frame, length: int):
     start = np.flatnonzero(on & ~np.r_[False, on[:-1] & joint[1:]])
     stop = np.flatnonzero(on & ~np.r_[on[1:] & joint[1:], False])
     p, first = piece[start], frame["first"].to_numpy(np.int64)
-    return pd.DataFrame({"row": frame["row"].to_numpy()[p], "start": first[p] + inner[start], "stop": first[p] + inner[stop] + length})
+    found = pd.DataFrame({"row": frame["row"].to_numpy()[p], "start": first[p] + inner[start], "stop": first[p] + inner[stop] + length})
+    return pd.concat([twin, found], ignore_index=True)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, hot: int = HOT) -> DataFrame:
@@ -204,12 +216,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int
             found = [anchors_of(np.frombuffer(utf8(x), np.uint8), length, gram) for x in part["text"]]
             counts = [len(x[0]) for x in found]
             if sum(counts):
-                yield pd.DataFrame({"gram": np.concatenate([x[0] for x in found]), "row": np.repeat(part["row"].to_numpy(), counts), "place": np.concatenate([x[1] for x in found]).astype(np.int32), "low": np.concatenate([x[2] for x in found]).astype(np.int32), "high": np.concatenate([x[3] for x in found]).astype(np.int32)})
+                gram_, place, low, high = (np.concatenate([x[k] for x in found]) for k in range(4))
+                # a window reaches at most ``length`` back, so an anchor's three positions fit one number
+                yield pd.DataFrame({"gram": gram_, "row": np.repeat(part["row"].to_numpy(), counts), "at": place << 24 | (place - low) << 12 | (high - low)})
 
-    anchors = materialise(docs.select("row", "text").mapInPandas(find, "gram long, row long, place int, low int, high int"), "suffix-anchors")
-    often = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("hot", F.col("n") > hot)
-    live = anchors.join(often, "gram").select("row", F.struct("gram", "place", "low", "high", "hot").alias("a"))
+    anchors = materialise(docs.select("row", "text").mapInPandas(find, "gram long, row long, at long"), "suffix-anchors")
+    often = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", (F.col("n") > hot).alias("hot"))
+    live = anchors.join(often, "gram").select("row", F.struct("at", "hot").alias("a"))
     live = materialise(live.groupBy("row").agg(F.collect_set("a").alias("anchors")), "suffix-live")  # bounded by the document
+    delete(docs.sparkSession, anchors)
+    del anchors, often
     tidy(docs.sparkSession)
 
     def cut(frames):
@@ -219,8 +235,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int
             rows = []
             for row, text, found in zip(part["row"], part["text"], part["anchors"], strict=True):
                 data = utf8(text)
-                for a in found:
-                    rows.append((a["gram"], row, a["low"], a["place"] - a["low"], data[a["low"] : a["high"] + length], a["hot"]))
+                at = np.array([a["at"] for a in found], np.int64)
+                place, low, high = at >> 24, (at >> 24) - (at >> 12 & 4095), (at >> 24) - (at >> 12 & 4095) + (at & 4095)
+                # the k-gram's name again, from its bytes: it need not travel twice
+                names = span_hash(prefix_sums(np.frombuffer(data, np.uint8)), place, place + gram).astype(np.int64)
+                for a, name, p, x, y in zip(found, names.tolist(), place.tolist(), low.tolist(), high.tolist(), strict=True):
+                    rows.append((name, row, x, p - x, data[x : y + length], a["hot"]))
                     if len(rows) == 20_000:
                         yield pd.DataFrame(rows, columns=["gram", "row", "first", "anchor", "data", "hot"])
                         rows = []
@@ -228,7 +248,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int
                 yield pd.DataFrame(rows, columns=["gram", "row", "first", "anchor", "data", "hot"])
 
     fragments = docs.select("row", "text").join(live, "row").mapInPandas(cut, FRAGMENT + ", hot boolean")
-    has_hot = often.where("hot").limit(1).count() > 0
+    has_hot = live.where(F.exists("anchors", lambda a: a["hot"])).limit(1).count() > 0
     if has_hot:
         fragments = materialise(fragments, "suffix-fragments")
 

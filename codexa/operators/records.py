@@ -35,7 +35,7 @@ def merged_fields(spans: DataFrame, keys: Sequence[str], model: str) -> DataFram
         if policy == "concat":
             value = F.when(F.size(texts) > 0, F.array_join(texts, separator))
         elif policy == "longest":  # the earlier one on ties
-            value = F.max_by(F.when(mine, F.col("text")), F.when(mine, F.struct(F.length("text").alias("n"), (-F.col("pos")).alias("p"))))
+            value = F.max_by(F.when(mine, F.col("text")), F.when(mine, F.struct(F.length("text").alias("n"), (-F.col("pos")).alias("p"), "text")))
         else:
             value = (F.min_by if policy == "first" else F.max_by)(F.when(mine, F.col("text")), F.when(mine, F.struct("pos", "text")))
         columns.append(value.alias(name))

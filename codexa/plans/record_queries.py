@@ -72,7 +72,7 @@ def coordinate_strings(spark, sf_dir):
 _L = "['title', 'author', 'journal', 'date', 'volume', 'pages', 'other'][(l_partkey % 7 + 1)::INT]"
 _SPANS = f"SELECT DISTINCT l_orderkey AS doc_id, {_L} AS label, (l_linenumber * 1000000 + l_partkey)::BIGINT AS pos, repeat('t' || l_suppkey, (l_suppkey % 3 + 1)::INT) AS text FROM lineitem"
 _FIRST, _LAST = "arg_min(text, (pos, text)) FILTER (label = '{0}')", "arg_max(text, (pos, text)) FILTER (label = '{0}')"
-_LONGEST = "arg_max(text, (length(text), -pos)) FILTER (label = '{0}')"
+_LONGEST = "arg_max(text, (length(text), -pos, text)) FILTER (label = '{0}')"
 _JOIN = "string_agg(text, '{1}' ORDER BY pos, text) FILTER (label = '{0}')"
 _SOLID = "trim(tok, ' ' || chr(9) || chr(10) || chr(12) || chr(13)) <> ''"
 
