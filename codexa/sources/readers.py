@@ -35,13 +35,13 @@ def html_text_nodes(pages: DataFrame) -> DataFrame:
 
 def text_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files: their path as doc_id, and their text."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
 
 def feature_rows(spark: SparkSession, path: str) -> DataFrame:
     """Feature files (a row a line, blank lines between sequences): file, seq_id, rows array<array<string>>."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\n[ \t]*\n")).alias("seq_id", "block"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\n[ \t]*\n")).alias("seq_id", "block"))
     lines = F.filter(F.split("block", "\n"), lambda x: F.trim(x) != "")
     return raw.select("file", "seq_id", F.transform(lines, lambda x: F.split(x, "[ \t]+")).alias("rows")).where(F.size("rows") > 0)
 
