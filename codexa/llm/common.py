@@ -57,9 +57,10 @@ def release(spark: SparkSession) -> None:
 
 def tidy(spark: SparkSession) -> None:
     """Ask the driver for a collection, so that shuffle files of finished phases leave the executors' disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
+    for _ in range(2):  # the first round frees Python's handles, the second what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def fold(doc_id: str | Column, modulus: int) -> Column:
