@@ -33,7 +33,7 @@ from codexa.llm.common import chunks, delete, materialise, table, tidy
 from codexa.llm.words import mix, prefix_sums, span_hash
 
 LENGTH, GRAM, PERIOD = 200, 48, 64
-BLOCK, HOT = 3_000_000, 60_000
+BLOCK, HOT = 2_000_000, 60_000
 
 #: A difference cover modulo 64 (every residue is a difference of two of its members).
 COVER = (0, 1, 2, 5, 14, 16, 34, 42, 59)
@@ -166,6 +166,22 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def coalesced(row: np.ndarray, start: np.ndarray, stop: np.ndarray):
+    """Spans of the same row that overlap or touch, as one."""
+    import pandas as pd
+
+    if not len(row):
+        return pd.DataFrame({"row": row, "start": start, "stop": stop})
+    order = np.lexsort((start, row))
+    row, start, stop = row[order], start[order], stop[order]
+    fresh = np.r_[True, row[1:] != row[:-1]]
+    lift = (np.cumsum(fresh) - 1) << 40  # rows apart, so that one running maximum serves all
+    reach = np.maximum.accumulate(stop + lift)
+    begin = np.flatnonzero(np.r_[True, start[1:] + lift[1:] > reach[:-1]])
+    last = np.r_[begin[1:], len(row)] - 1
+    return pd.DataFrame({"row": row[begin], "start": start[begin], "stop": (reach - lift)[last]})
+
+
 FRAGMENT = "gram long, row long, first long, anchor int, data binary"
 SPANS = "row long, start long, stop long"
 
@@ -181,6 +197,7 @@ def sort_block(frame, length: int):
     copies = frame[alike]
     twin = pd.DataFrame({"row": copies["row"].to_numpy(), "start": copies["first"].to_numpy(), "stop": copies["first"].to_numpy() + copies["data"].str.len().to_numpy(np.int64)})
     frame = frame[~pd.Series(codes).duplicated().to_numpy()]
+    twin = coalesced(*(twin[c].to_numpy(np.int64) for c in ("row", "start", "stop")))
     several = frame["gram"].duplicated(keep=False)  # a k-gram with one kind of fragment has nothing more to sort
     frame = frame[several]
     if not len(frame):
@@ -200,7 +217,7 @@ def sort_block(frame, length: int):
     start = np.flatnonzero(on & ~np.r_[False, on[:-1] & joint[1:]])
     stop = np.flatnonzero(on & ~np.r_[on[1:] & joint[1:], False])
     p, first = piece[start], frame["first"].to_numpy(np.int64)
-    found = pd.DataFrame({"row": frame["row"].to_numpy()[p], "start": first[p] + inner[start], "stop": first[p] + inner[stop] + length})
+    found = coalesced(frame["row"].to_numpy(np.int64)[p], first[p] + inner[start], first[p] + inner[stop] + length)
     return pd.concat([twin, found], ignore_index=True)
 
 
@@ -241,13 +258,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int
                 names = span_hash(prefix_sums(np.frombuffer(data, np.uint8)), place, place + gram).astype(np.int64)
                 for a, name, p, x, y in zip(found, names.tolist(), place.tolist(), low.tolist(), high.tolist(), strict=True):
                     rows.append((name, row, x, p - x, data[x : y + length], a["hot"]))
-                    if len(rows) == 20_000:
-                        yield pd.DataFrame(rows, columns=["gram", "row", "first", "anchor", "data", "hot"])
-                        rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=["gram", "row", "first", "anchor", "data", "hot"])
-
-    fragments = docs.select("row", "text").join(live, "row").mapInPandas(cut, FRAGMENT + ", hot boolean")
+            frame = pd.DataFrame(rows, columns=["gram", "row", "first", "anchor", "data", "hot"])
+            # fragments that this task has twice are repeats as a whole: their spans go on as such, and one goes to the sort
+            codes, kinds = pd.factorize(np.array([d + a.to_bytes(2, "big") for d, a in zip(frame["data"], frame["anchor"].tolist(), strict=True)], object))
+            copies = frame[np.bincount(codes, minlength=len(kinds))[codes] > 1]
+            begin = copies["first"].to_numpy(np.int64)
+            known = coalesced(copies["row"].to_numpy(np.int64), begin, begin + copies["data"].str.len().to_numpy(np.int64))
+            yield frame[~pd.Series(codes).duplicated().to_numpy()].assign(stop=0)
+            yield pd.DataFrame({"gram": known["row"], "row": known["row"], "first": known["start"], "anchor": 0, "data": None, "hot": False, "stop": known["stop"]})
+
+    fragments = docs.select("row", "text").join(live, "row").mapInPandas(cut, FRAGMENT + ", hot boolean, stop long")
     has_hot = live.where(F.exists("anchors", lambda a: a["hot"])).limit(1).count() > 0
     if has_hot:
         fragments = materialise(fragments, "suffix-fragments")
@@ -257,6 +277,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int
 
         held, size = [], 0
         for frame in frames:
+            known = frame["data"].isna().to_numpy()
+            if known.any():
+                yield frame.loc[known, ["row", "first", "stop"]].rename(columns={"first": "start"})
+                frame = frame[~known]
+            if not len(frame):
+                continue
             held.append(frame)
             size += int(frame["data"].str.len().sum())
             if size < block:
