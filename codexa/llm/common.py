@@ -15,8 +15,16 @@ from pyspark.sql import functions as F
 _written: list[str] = []
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts are long rows: fewer of them in an Arrow batch, unless the session already asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark so that any file system works."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
@@ -89,7 +98,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     return texts.join(F.broadcast(chosen), "doc_id").orderBy(order, "doc_id").select("text", "label").collect()
 
 
-def chunks(frames: Iterator, column: str = "text", limit: int = 2_000_000) -> Iterator:
+def chunks(frames: Iterator, column: str = "text", limit: int = 1_000_000) -> Iterator:
     """Cut batches of pandas rows into runs of at most ``limit`` characters (one row at least), to bound memory."""
     for frame in frames:
         if not len(frame):
