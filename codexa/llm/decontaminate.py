@@ -28,7 +28,7 @@ from codexa.llm.words import scan
 
 WIDTH, RANK, EXTRA, BLOCK, PIECE = 1 << 15, 64, 8, 24, 1 << 12
 COMMON = 0.05
-COSINE, OVERLAP, PARAPHRASE, MIN_WORDS, MAX_ITEMS = 0.5, 0.75, 0.55, 8, 100_000
+COSINE, OVERLAP, PARAPHRASE, MIN_WORDS, MAX_ITEMS = 0.57, 0.75, 0.55, 8, 100_000
 
 _EDGE = np.ones(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -141,16 +141,13 @@ def sketch(owned: DataFrame, weights, width: int) -> np.ndarray:
             before = np.vstack([np.zeros((1, width), np.float32), s[:-1]]) * np.r_[False, doc[1:] == doc[:-1]][:, None]
             s = s + before
             sizes = np.diff(np.r_[start, len(h)])
-            # words sorted by column: one sum of sign rows for each column
             col = column(h)
             keep = weights.value[col] > 0
             col, block = col[keep], np.repeat(np.arange(len(start)), sizes)[keep]
             if not len(col):
                 continue
-            order = np.argsort(col.astype(np.uint16), kind="stable")
-            block = block[order]
-            cols, at = np.unique(col[order], return_index=True)
-            total[:, cols] += np.add.reduceat(s[block], at, axis=0).T
+            for r, row in enumerate(np.ascontiguousarray(s.T)):
+                total[r] += np.bincount(col, weights=row[block], minlength=WIDTH)
         if total.any():
             yield pieces((total * weights.value).astype(np.float32).ravel(), PIECE * 4)
 
@@ -186,7 +183,7 @@ def latent(owned: DataFrame, rank: int = RANK, extra: int = EXTRA) -> tuple[np.n
     df, n = frequencies(owned)
     # words of many documents say little about a passage and would fill the first directions: they weigh less, and nothing at last
     share = df / max(n, 20)
-    idf = np.where(share > 4 * COMMON, 0.0, np.log((1 + n) / (1 + df)) * np.minimum(1, COMMON / np.maximum(share, 1e-12)))
+    idf = np.where(share > 4 * COMMON, 0.0, np.log((1 + n) / (1 + df)) * np.minimum(1, COMMON / np.maximum(share, 1e-12)) ** 2)
     weights = spark.sparkContext.broadcast(idf)
     q, _ = np.linalg.qr(sketch(owned, weights, rank + extra).T)
     basis = spark.sparkContext.broadcast((q * idf[:, None]).astype(np.float32))
