@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, epochs: int)
     w = w.withColumn("budget", F.sum("source_size").over(everything) * F.lit(float(share)))
     w = w.withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(rest))
     w = w.withColumn("open", F.col("level") * F.col("weight") < F.col("cap"))
-    final = F.min(F.when(F.col("open"), F.col("level"))).over(everything)
+    final = F.max(F.when(F.col("open"), F.col("level"))).over(everything)  # that of the first one open; later ones counted open sources as full
     return w.withColumn("final", final).select(
         "key", "source", "source_size", F.when(F.col("open"), F.col("weight") * F.col("final")).otherwise(F.col("cap").cast("double")).alias("target")
     )
@@ -114,7 +114,7 @@ WITH d AS (
          / (sum(weight) OVER (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level
   FROM w
 ), t AS (
-  SELECT source, source_size, CASE WHEN level * weight < cap THEN weight * (min(CASE WHEN level * weight < cap THEN level END) OVER ()) ELSE cap::DOUBLE END AS target
+  SELECT source, source_size, CASE WHEN level * weight < cap THEN weight * (max(CASE WHEN level * weight < cap THEN level END) OVER ()) ELSE cap::DOUBLE END AS target
   FROM f
 ), g AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM t

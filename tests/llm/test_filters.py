@@ -88,6 +88,13 @@ def fill(sizes, weights=(3, 1, 2), share=1.5, epochs=2):
         got |= {s: float(epochs * sizes[s]) for s in over}
 
 
+@pytest.mark.parametrize("sizes", [{"a": 2520, "b": 2460, "c": 2460}, {"a": 10, "b": 500, "c": 40, "d": 7, None: 90}, {"a": 0, "b": 5}, {"b": 8}])
+def test_targets(spark, sizes):
+    frame = spark.createDataFrame([("=" + s if s else "", s, n) for s, n in sizes.items()], "key string, source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(frame, (3, 1, 2), 1.5, 2).collect()}
+    assert got == pytest.approx(fill(sizes))
+
+
 def test_mix(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * rng.randint(0, 60)), rng.choice(["a", "b", "b", "b", "c", "d", None, "é"])) for i in range(500)]
