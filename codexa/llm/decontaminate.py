@@ -6,7 +6,9 @@
    spans the row space; a second pass over the passages gives the small Gram matrix, whose eigenvectors turn the span into
    singular vectors.
 3. Every passage of every document is projected, whitened and compared (cosine) with every benchmark item: a stated query set
-   against all rows, in blocks of the matrix product. Long items are queried by pieces of a passage's length.
+   against all rows, in blocks of the matrix product. Long items are queried by pieces of a passage's length. Besides these,
+   every passage that holds ``GRAM`` words in a row of an item is a candidate, whatever its cosine, so that passages that stand
+   word for word are found even where their words are too common to weigh anything.
 4. Candidates are checked on the words around the passage: the longest common subsequence with the item must cover
    ``overlap`` of the item's words, or ``paraphrase`` of them if the item's answer (its last sentence) is there too, in order.
 
@@ -27,7 +29,7 @@ from codexa.llm.common import chunks, gather, materialise, pieces, table
 from codexa.llm.words import scan
 
 WIDTH, RANK, EXTRA, BLOCK, PIECE = 1 << 15, 64, 8, 24, 1 << 12
-COMMON = 0.05
+COMMON, GRAM = 0.05, 4
 COSINE, OVERLAP, PARAPHRASE, MIN_WORDS, MAX_ITEMS = 0.57, 0.75, 0.55, 8, 100_000
 
 _EDGE = np.ones(256, bool)
@@ -181,9 +183,9 @@ def latent(owned: DataFrame, rank: int = RANK, extra: int = EXTRA) -> tuple[np.n
     """(WIDTH x rank) from TF-IDF columns to whitened latent coordinates (idf included), and the singular values."""
     spark = owned.sparkSession
     df, n = frequencies(owned)
-    # words of many documents say little about a passage and would fill the first directions: they weigh less, and nothing at last
+    # words of many documents say little about a passage and would fill the first directions: they weigh less, but never nothing
     share = df / max(n, 20)
-    idf = np.where(share > 4 * COMMON, 0.0, np.log((1 + n) / (1 + df)) * np.minimum(1, COMMON / np.maximum(share, 1e-12)) ** 2)
+    idf = np.log((2 + n) / (1 + df)) * np.minimum(1, COMMON / np.maximum(share, 1e-12)) ** 2
     weights = spark.sparkContext.broadcast(idf)
     q, _ = np.linalg.qr(sketch(owned, weights, rank + extra).T)
     basis = spark.sparkContext.broadcast((q * idf[:, None]).astype(np.float32))
@@ -249,6 +251,48 @@ def queries_of(items, rows: np.ndarray, cosine: float) -> tuple[np.ndarray, np.n
     return np.array(vectors, np.float32).reshape(-1, rows.shape[1]), np.array(owner, np.int64), np.array(asked, np.float32)
 
 
+def grams(h: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of every ``size`` words in a row."""
+    out = np.zeros(max(len(h) - size + 1, 0), np.uint64)
+    for k in range(size):
+        out = (out + h[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def keys_of(items) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By size: bits of the hashes that occur, the sorted hashes of the items' words in a row, and whose each is."""
+    found: dict[int, set[tuple[int, int]]] = {}
+    for k, (_, words, _) in enumerate(items):
+        size = min(GRAM, len(words))
+        found.setdefault(size, set()).update((x, k) for x in grams(words, size).tolist())
+    out = {}
+    for size, pairs in found.items():
+        ordered = sorted(pairs)
+        keys = np.array([x for x, _ in ordered], np.uint64)
+        bits = np.zeros(1 << 20, bool)
+        bits[keys >> np.uint64(44)] = True
+        out[size] = bits, keys, np.array([k for _, k in ordered], np.int64)
+    return out
+
+
+def in_a_row(h: np.ndarray, first: np.ndarray, start: np.ndarray, keys) -> set[tuple[int, int]]:
+    """(passage, item) where an item's words stand in a row, with the passage of the block they begin in."""
+    out: set[tuple[int, int]] = set()
+    for size, (bits, known, owner) in keys.items():
+        g = grams(h, size)
+        at = np.flatnonzero(bits[g >> np.uint64(44)])
+        low, high = np.searchsorted(known, g[at], "left"), np.searchsorted(known, g[at], "right")
+        at, low, high = (x[high > low] for x in (at, low, high))
+        end = first[np.searchsorted(first, at, "right")]
+        at, low, high = (x[at + size <= end] for x in (at, low, high))
+        count = high - low
+        which = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        block = np.repeat(np.searchsorted(start, at, "right") - 1, count)
+        out |= set(zip(block.tolist(), owner[which].tolist(), strict=True))
+    return out
+
+
 def search(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, overlap: float = OVERLAP, paraphrase: float = PARAPHRASE) -> DataFrame:
     """(doc_id, text), (item_id, text) -> doc_id, item_id, place, common, item_words, answer: one row for each document and item it holds."""
     shape = "doc_id long, item_id long, place long, common long, item_words long, answer boolean"
@@ -259,7 +303,7 @@ def search(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, overla
     owned = materialise(streams(docs), "passage-words")
     rows, _ = latent(owned)
     vectors, owner, asked = queries_of(items, rows, cosine)
-    shared = spark.sparkContext.broadcast((rows, vectors, owner, asked, items))
+    shared = spark.sparkContext.broadcast((rows, vectors, owner, asked, items, keys_of(items)))
 
     def check(words: np.ndarray, low: int, high: int, item):
         _, wanted, answer = item
@@ -281,7 +325,7 @@ def search(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, overla
     def run(frames):
         import pandas as pd
 
-        rows, vectors, owner, asked, items = shared.value
+        rows, vectors, owner, asked, items, keys = shared.value
         kinds = [set(words.tolist()) for _, words, _ in items]
         # an item's words that a common subsequence misses are at most this share, so the others must stand near
         least = [len(kind) - (1 - paraphrase) * len(words) if len(words) >= MIN_WORDS else len(kind) for kind, (_, words, _) in zip(kinds, items, strict=True)]
@@ -292,9 +336,11 @@ def search(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, overla
             p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
             out: dict[tuple[int, int], tuple] = {}
             listed = h.tolist()
+            exact = in_a_row(h, first, start, keys)
             for a in range(0, len(p), 4096):
                 near, which = np.nonzero(p[a : a + 4096] @ vectors.T >= asked)
-                for passage, k in set(zip((near + a).tolist(), owner[which].tolist(), strict=True)):
+                alike = set(zip((near + a).tolist(), owner[which].tolist(), strict=True)) - exact
+                for passage, k in (*alike, *(exact if not a else ())):
                     d, at, reach = int(doc[passage]), int(start[passage]), len(items[k][1])
                     low, high = max(int(first[d]), at - reach), min(int(first[d + 1]), at + 2 * BLOCK + reach)
                     if len(kinds[k].intersection(listed[low:high])) < least[k]:
