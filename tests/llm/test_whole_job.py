@@ -1,7 +1,12 @@
+import os
 import random
 
+import pytest
+
 from codexa.llm import decontaminate
 
+SF = "/root/testdata/sf0.1"
+
 
 def test_item_in_a_third_of_all_rows(spark):
     rng = random.Random(4)
@@ -22,3 +27,20 @@ def test_words_of_many_documents_weigh_something(spark):
     words = decontaminate.word_stream(["all of these stand here"])[0]
     rows, _ = decontaminate.latent(decontaminate.materialise(decontaminate.streams(docs), "t"), rank=4, extra=2)
     assert (abs(rows[decontaminate.column(words)]).max(axis=1) > 0).all()
+
+
+def test_recall_of_word_for_word_passages(spark):
+    """Every item that stands word for word in a document of sf0.1 is found: by brute force over normalised words."""
+    if not os.path.isdir(SF):
+        pytest.skip("no test data")
+
+    def normal(rows):
+        h, first = decontaminate.word_stream([r["text"] for r in rows])
+        return [" " + " ".join(map(str, h[a:b].tolist())) + " " for a, b in zip(first[:-1], first[1:], strict=True)]
+
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    d, b = docs.select("doc_id", "text").collect(), bench.select("item_id", "text").collect()
+    items = [(r["item_id"], x) for r, x in zip(b, normal(b), strict=True) if x.strip()]
+    want = {(r["doc_id"], k) for r, text in zip(d, normal(d), strict=True) for k, x in items if x in text}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.search(docs, bench).select("doc_id", "item_id").collect()}
+    assert len(want) > 200 and not want - got
