@@ -1,22 +1,24 @@
 """HTML main text by wrappers: union-free regular expressions inferred from the pages of one host.
 
 A page becomes a stream of tokens (block tags, and text slots named by their containers). Within a page, neighbouring
-equal groups of tokens collapse into a repeated group. The streams of a host's pages are then aligned one after another:
-where they agree the wrapper stays, a group that is repeated in one and single in the other becomes repeated, and
-what only one of them has becomes optional; text always becomes a slot. The result has no alternatives, so it is
-union-free. The wrapper's slots inside the article that aren't in menus, headers, footers, sidebars, notices, adverts, forms
-or comments are the article's; a host without article containers has those of the repeated groups outside such places.
-Every page is aligned with its host's wrapper, and the text in the article's slots is its main text.
+equal groups of tokens collapse into a repeated group. Text that more than half of a host's distinct pages have (three of
+them at least) may be the template's and stands as a token of its own; other text is a slot. The streams of a host's pages are then
+aligned one after another: where they agree the wrapper stays, a group that is repeated in one and single in the other becomes
+repeated, and what only one of them has becomes optional. The result has no alternatives, so it is union-free.
+Every page is aligned with its host's wrapper. Text that goes together with the wrapper's same text is boilerplate; the other
+text fills slots, repeated and optional groups' included. Of these the main text is what stands in the page's article container, or, on a
+page without one, what stands outside menus, headers, footers, sidebars, notices, adverts, forms and comments.
 
 The wrapper of a host is folded over distinct streams, in salted parts first, one stream at a time: a task holds one wrapper,
 however many pages a host has.
 
 Edge cases: null or empty html gives an empty text; unclosed and unknown tags, broken entities and cut-off pages are read as far
-as they go; urls without a host share one wrapper; repeated rows are extracted alike; an empty table gives no rows.
+as they go; a host of fewer than three distinct pages has no text known as the template's; urls without a host share one wrapper; repeated rows are extracted alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -25,11 +27,12 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.common import table
+from codexa.llm.common import materialise, table
 from codexa.llm.urls import host_of
 
 SALTS = 16
-TEXT = "#"
+TEXT, FIXED = "#", "="
+LEAST_PAGES = 3
 
 #: Element kinds of HTML, and what names a container's purpose.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -216,46 +219,79 @@ def shown(wrapper: list) -> str:
     return " ".join(map(say, wrapper))
 
 
-def places(wrapper: list) -> frozenset[str]:
-    """Which slots are the article's: those in a main container, or else those outside chrome."""
-    flat = json.dumps(wrapper)
-    return frozenset([f"{TEXT}main"]) if f'"{TEXT}main"' in flat else frozenset([f"{TEXT}page"])
+def key_of(symbol: str, text: str) -> int:
+    """64 bits that tell a text and its place from others."""
+    return int.from_bytes(hashlib.blake2b(f"{symbol} {text}".encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def _slots(item) -> list[str]:
-    return [item] if isinstance(item, str) else [s for x in item[1] for s in _slots(x)]
+def keyed(page) -> tuple[list[str], list[str | None], list[int]]:
+    """A page's symbols and texts, and the keys of its text symbols in their order."""
+    symbols, texts = stream(page)
+    return symbols, texts, [key_of(s, t) for s, t in zip(symbols, texts, strict=True) if t is not None]
+
+
+def marked(symbols, keys, fixed: frozenset[int]) -> tuple[str, ...]:
+    """The symbols, with a token of its own for each text that may be the template's."""
+    rest = iter(keys)
+    return tuple((f"{FIXED}{k}" if (k := next(rest)) in fixed else s) if s[0] == TEXT else s for s in symbols)
 
 
 @lru_cache(maxsize=2000)
-def chosen(wrapper: str, symbols: tuple) -> tuple[int, ...]:
-    """Places in a page's stream whose slots, by the alignment with the wrapper, are the article's."""
-    whole = load(wrapper)
-    items = collapse(symbols)
-    wanted = places(whole)
+def chosen(wrapper: str, symbols: tuple, tokens: tuple) -> tuple[int, ...]:
+    """Places in a page's stream whose text, by the alignment with the wrapper, isn't the template's but the article's."""
+    items = collapse(tokens)
     begin = [0]
     for _, width in items:
         begin.append(begin[-1] + width)
+    wanted = f"{TEXT}main" if f"{TEXT}main" in symbols else f"{TEXT}page"
     out = []
-    for i, j in align(whole, [x for x, _ in items]):
-        if j is not None and (i is None or wanted & set(_slots(whole[i]))):
-            out += [k for k in range(begin[j], begin[j + 1]) if symbols[k] in wanted]
+    for i, j in align(load(wrapper), [x for x, _ in items]):
+        if j is not None:
+            # a template's text where the wrapper doesn't have it is the page's own
+            out += [k for k in range(begin[j], begin[j + 1]) if symbols[k] == wanted and (i is None or tokens[k][0] == TEXT)]
     return tuple(sorted(out))
 
 
+def parsed(pages: DataFrame) -> DataFrame:
+    """(host, html) -> (host, symbols, keys) of the distinct pages."""
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            found = [(host, " ".join(symbols), keys) for host, (symbols, _, keys) in zip(frame["host"], map(keyed, frame["html"]), strict=True)]
+            yield pd.DataFrame(found, columns=["host", "symbols", "keys"])
+
+    return pages.select("host", "html").mapInPandas(run, "host string, symbols string, keys array<long>").distinct()
+
+
+def fixed_texts(streams: DataFrame) -> DataFrame:
+    """(host, keys) of distinct pages -> (host, fixed): keys of the texts of more than half of a host's pages; twice a page's at most."""
+    hosts = streams.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
+    counted = streams.select("host", F.explode(F.array_distinct("keys")).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("c"))
+    often = counted.where(F.col("c") >= LEAST_PAGES).join(hosts, "host").where(F.col("c") * 2 > F.col("n"))
+    return often.groupBy("host").agg(F.collect_list("key").alias("fixed"))
+
+
 def streams(pages: DataFrame) -> DataFrame:
-    """(host, html) -> (host, stream): each page's collapsed stream, once for each task."""
+    """(host, symbols, keys, fixed) -> (host, stream): each page's collapsed stream, once for each task."""
 
     def run(frames):
         import pandas as pd
 
         seen: set[tuple[str, str]] = set()
         for frame in frames:
-            rows = {(host, dump([x for x, _ in collapse(tuple(stream(page)[0]))])) for host, page in zip(frame["host"], frame["html"], strict=True)} - seen
+            found = zip(frame["host"], frame["symbols"], frame["keys"], frame["fixed"], strict=True)
+            rows = {(host, dump([x for x, _ in collapse(marked(symbols.split(), keys, _fixed(fixed)))])) for host, symbols, keys, fixed in found} - seen
             if len(seen) < 100_000:
                 seen |= rows
             yield pd.DataFrame(sorted(rows), columns=["host", "stream"])
 
-    return pages.select("host", "html").mapInPandas(run, "host string, stream string").distinct()
+    return pages.select("host", "symbols", "keys", "fixed").mapInPandas(run, "host string, stream string").distinct()
+
+
+def _fixed(keys) -> frozenset[int]:
+    return frozenset() if keys is None else frozenset(map(int, keys))
 
 
 def _fold(frames):
@@ -277,12 +313,14 @@ def _fold(frames):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, html) -> (host, wrapper)."""
+    """(host, html) -> (host, wrapper, fixed)."""
     shape = "host string, stream string"
-    parts = streams(pages).withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(SALTS)))
+    distinct = materialise(parsed(pages), "page-streams")
+    fixed = fixed_texts(distinct)
+    parts = streams(distinct.join(fixed, "host", "left")).withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(SALTS)))
     parts = parts.repartition("host", "salt").sortWithinPartitions("host", "salt", "stream").select("host", "stream").mapInPandas(_fold, shape)
     whole = parts.repartition("host").sortWithinPartitions("host", "stream").mapInPandas(_fold, shape)
-    return whole.select("host", F.col("stream").alias("wrapper"))
+    return whole.select("host", F.col("stream").alias("wrapper")).join(fixed, "host", "left")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -293,12 +331,12 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(frames):
         for frame in frames:
             found = []
-            for page, wrapper in zip(frame["html"], frame["wrapper"], strict=True):
-                symbols, texts = stream(page)
-                found.append("\n\n".join(texts[k] for k in chosen(wrapper, tuple(symbols))))
+            for page, wrapper, fixed in zip(frame["html"], frame["wrapper"], frame["fixed"], strict=True):
+                symbols, texts, keys = keyed(page)
+                found.append("\n\n".join(texts[k] for k in chosen(wrapper, tuple(symbols), marked(symbols, keys, _fixed(fixed)))))
             yield frame[["page_id", "url"]].assign(text=found, n_chars=[len(x) for x in found])
 
-    return joined.select("page_id", "url", "html", "wrapper").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "wrapper", "fixed").mapInPandas(run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir):

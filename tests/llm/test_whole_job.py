@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from codexa.llm import decontaminate
+from codexa.llm import decontaminate, extract
 
 SF = "/root/testdata/sf0.1"
 
@@ -44,3 +44,18 @@ def test_recall_of_word_for_word_passages(spark):
     want = {(r["doc_id"], k) for r, text in zip(d, normal(d), strict=True) for k, x in items if x in text}
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.search(docs, bench).select("doc_id", "item_id").collect()}
     assert len(want) > 200 and not want - got
+
+
+def test_boilerplate_without_names(spark):
+    """Mixed templates: pages with and without an article, and unnamed text that stands on every page."""
+    page = "<html><body><div><p>Subscribe to us today</p><p>All rights are ours</p></div>{}<div><p>Call 555 now</p></div></body></html>"
+    plain = [f"<div><p>Story {i} begins</p><p>and {i} ends.</p>{'<p>more</p>' * (i % 2)}</div>" for i in range(5)]
+    rows = [(i, "https://p.org/", page.format(x)) for i, x in enumerate(plain)]
+    rows += [(10 + i, "https://m.org/", page.format(x if i % 2 else f"<article>{x}</article><div><p>Off {i}</p></div>")) for i, x in enumerate(plain)]
+    rows += [(20, "https://one.org/", page.format(plain[0])), (21, "https://p.org/", "<html><body><div><p>Own words</p><p>Call 555 now</p><p>Call 555 now</p></div></body></html>")]
+    got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(5):
+        want = f"Story {i} begins\n\nand {i} ends." + "\n\nmore" * (i % 2)
+        assert got[i] == got[10 + i] == want
+    assert "Subscribe to us today" in got[20]  # a single page tells no template
+    assert got[21].startswith("Own words")
