@@ -1,0 +1,19 @@
+"""Queries held against SQL over all rows, made from the catalogue's by taking its cuts out."""
+
+import pytest
+from test_catalogue import DATA, duck, rows  # noqa: F401
+
+from codexa.plans import catalogue
+
+WHOLE = {
+    "crossref_works": ((" WHERE o_orderkey % 5 = 0", ""),),
+}
+
+
+@pytest.mark.parametrize("name", list(WHOLE))
+def test_whole_query(spark, duck, name):  # noqa: F811
+    sql = catalogue.oracle_sql()[name]
+    for cut, whole in WHOLE[name]:
+        sql = sql.replace(cut, whole)
+    got, want = catalogue.queries()[name](spark, DATA).toPandas(), duck.execute(sql).df()
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want) and len(want)
