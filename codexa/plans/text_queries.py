@@ -118,7 +118,7 @@ def identifier_extract(spark, sf_dir):
 
 def clean_field(spark, sf_dir):
     lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    cleaned = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.clean_field(F.concat(F.lit(", ("), F.substring("line", 1, 60), F.lit(")., -"))).alias("c"))
+    cleaned = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.clean_field(F.concat(F.lit(", ("), F.col("line"), F.lit(")., -"))).alias("c"))
     return cleaned.select("doc_id", "line_no", F.md5("c").alias("digest"))
 
 

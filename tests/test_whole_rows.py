@@ -7,6 +7,7 @@ from codexa.plans import catalogue
 
 WHOLE = {
     "crossref_works": ((" WHERE o_orderkey % 5 = 0", ""),),
+    "clean_field": (("substr(line, 1, 60)", "line"),),
 }
 
 
