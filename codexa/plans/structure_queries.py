@@ -109,7 +109,7 @@ def gazetteer_match(spark, sf_dir):
 def inverted_index_topk(spark, sf_dir):
     terms = T.alphanumeric_terms(F.coalesce("text", F.lit("")))
     docs = read(spark, sf_dir, "documents").select("doc_id", terms.alias("terms"))
-    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(terms, 1, 12).alias("terms"))
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), terms.alias("terms"))
     return matching.index_search(docs, asked, 0.6, 10).select("query_id", "doc_id", "matched", F.round("score", 3).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -128,12 +128,10 @@ def consolidate_join(spark, sf_dir):
 
 def token_jaccard(spark, sf_dir):
     terms = F.array_distinct(T.alphanumeric_terms(F.coalesce("text", F.lit(""))))
-    b = read(spark, sf_dir, "benchmark").select("item_id", terms.alias("b"))
-    posted = b.select("item_id", F.explode("b").alias("term"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", terms.alias("d"))
-    pairs = docs.select("doc_id", F.explode("d").alias("term")).join(posted, "term").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("c")).where("c >= 10").select("doc_id", "item_id")
-    joined = pairs.join(docs, "doc_id").join(b, "item_id")
-    return joined.select("doc_id", "item_id", F.round(matching.jaccard(F.col("d"), F.col("b")), 6).alias("jaccard"))
+    posted = read(spark, sf_dir, "benchmark").select("item_id", terms.alias("b")).select("item_id", F.size("b").alias("nb"), F.explode("b").alias("term"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", terms.alias("d")).select("doc_id", F.size("d").alias("nd"), F.explode("d").alias("term"))
+    shared = docs.join(F.broadcast(posted), "term").groupBy("doc_id", "item_id", "nd", "nb").agg(F.count(F.lit(1)).alias("c"))
+    return shared.select("doc_id", "item_id", F.round(F.col("c") / (F.col("nd") + F.col("nb") - F.col("c")), 6).alias("jaccard"))
 
 
 def ratcliff_names(spark, sf_dir):

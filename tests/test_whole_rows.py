@@ -8,6 +8,8 @@ from codexa.plans import catalogue
 WHOLE = {
     "crossref_works": ((" WHERE o_orderkey % 5 = 0", ""),),
     "clean_field": (("substr(line, 1, 60)", "line"),),
+    "inverted_index_topk": (("[1:12] AS terms", " AS terms"),),
+    "token_jaccard": ((" WHERE c >= 10", ""),),
 }
 
 
