@@ -45,11 +45,11 @@ def interval_token_flags(spark, sf_dir):
     return flagged.groupBy("user_id").agg(F.sum(F.col("inside").cast("long")).alias("n_inside"), F.count(F.lit(1)).alias("n"))
 
 
-def _boxes(spark, sf_dir):
+def _boxes(spark, sf_dir, *more):
     c = F.col
     return read(spark, sf_dir, "lineitem").select(
         (c("l_orderkey") % 500).alias("doc_id"), (c("l_linenumber") % 4 + 1).cast("long").alias("page"), c("l_partkey").alias("block"), ((c("l_orderkey") * 10 + c("l_linenumber")) * 1000000 + c("l_partkey")).alias("ord"),
-        (c("l_suppkey") % 50 * 10).cast("double").alias("x"), F.floor(c("l_quantity")).cast("double").alias("y"), (c("l_partkey") % 30 + 5).cast("double").alias("w"), (c("l_partkey") % 20 + 10).cast("double").alias("h"),
+        (c("l_suppkey") % 50 * 10).cast("double").alias("x"), F.floor(c("l_quantity")).cast("double").alias("y"), (c("l_partkey") % 30 + 5).cast("double").alias("w"), (c("l_partkey") % 20 + 10).cast("double").alias("h"), *more,
     )
 
 
@@ -74,18 +74,23 @@ def block_spacing(spark, sf_dir):
     return layout.block_spacing(b).groupBy("doc_id", "page").agg(F.count("spacing").alias("n"), F.min("spacing").alias("least"), F.max("spacing").alias("most"))
 
 
+def _roles(spark, sf_dir):
+    """All boxes, each a caption (or block) or a graphic."""
+    return _boxes(spark, sf_dir, F.coalesce(F.col("l_linestatus") == "O", F.lit(False)).alias("caption"))
+
+
 def connected_boxes(spark, sf_dir):
-    b = _boxes(spark, sf_dir)
-    up = b.where("block % 40 = 1").select("doc_id", "page", F.col("ord").alias("a"), *(F.col(c).alias(f"a{c}") for c in "xywh"))
-    down = b.where("block % 40 = 2").select("doc_id", "page", F.col("ord").alias("b"), *(F.col(c).alias(f"b{c}") for c in "xywh"))
+    b = _roles(spark, sf_dir)
+    up = b.where("caption").select("doc_id", "page", F.col("ord").alias("a"), *(F.col(c).alias(f"a{c}") for c in "xywh"))
+    down = b.where("not caption").select("doc_id", "page", F.col("ord").alias("b"), *(F.col(c).alias(f"b{c}") for c in "xywh"))
     near = F.least(F.abs(F.col("by") - F.col("ay") - F.col("ah")), F.abs(F.col("ay") - F.col("by") - F.col("bh"))) < 100
     return up.join(down, ["doc_id", "page"]).where(near).select("doc_id", "page", "a", "b", layout.intersects("a", "b").alias("overlap"))
 
 
 def nearest_graphic(spark, sf_dir):
-    b = _boxes(spark, sf_dir)
-    left = b.where("block % 40 = 1").select("doc_id", "page", F.col("ord").alias("caption"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    right = b.where("block % 40 = 2").select("doc_id", "page", F.col("ord").alias("graphic"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    b = _roles(spark, sf_dir)
+    left = b.where("caption").select("doc_id", "page", F.col("ord").alias("caption"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    right = b.where("not caption").select("doc_id", "page", F.col("ord").alias("graphic"), F.col("x").alias("bx"), F.col("y").alias("by"))
     distance = F.abs(F.col("ax") - F.col("bx")) + F.abs(F.col("ay") - F.col("by"))
     return layout.nearest(left, right, ["doc_id", "page"], "caption", "graphic", distance, 300).select("doc_id", "page", "caption", "graphic", "distance")
 

@@ -10,6 +10,8 @@ WHOLE = {
     "clean_field": (("substr(line, 1, 60)", "line"),),
     "inverted_index_topk": (("[1:12] AS terms", " AS terms"),),
     "token_jaccard": ((" WHERE c >= 10", ""),),
+    "connected_boxes": (("a.block % 40 = 1 AND b.block % 40 = 2", "a.role AND NOT b.role"), (" FROM lineitem", ", coalesce(l_linestatus = 'O', false) AS role FROM lineitem")),
+    "nearest_graphic": (("a.block % 40 = 1 AND b.block % 40 = 2", "a.role AND NOT b.role"), (" FROM lineitem", ", coalesce(l_linestatus = 'O', false) AS role FROM lineitem")),
 }
 
 
