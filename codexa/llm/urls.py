@@ -6,7 +6,7 @@ in the component. An explicit allow takes precedence twice: a url that an allow
 component that holds an explicitly allowed url isn't blocked through its aliases. All else is allowed.
 
 Edge cases: a null url or one without ``://`` has empty host and path, and is allowed; fragments don't tell urls
-apart; an edge to itself or with a null end is ignored; repeated rows are judged one by one; without edges, no url
+apart; relative targets of links are resolved against their page's url (a ``base`` element isn't read); an edge to itself or with a null end is ignored; repeated rows are judged one by one; without edges, no url
 has aliases; other columns are ignored.
 """
 
@@ -56,12 +56,43 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
     return found if found is not None else F.lit(None).cast("struct<verdict:string,rule:string>")
 
 
+def decoded(href: Column) -> Column:
+    """``&`` out of its references, in the forms that stand in attributes."""
+    return F.regexp_replace(href, r"(?i)&amp;|&#0*38;|&#x0*26;", "&")
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """A link's target as an absolute url: by the scheme, host and path of the page it stands on; null without a base that has them."""
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
+    site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    path, query = path_of(base), F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"(?s)^/(.*/)?", 1))
+    # path and rest of a relative target; dots are taken out of the path alone
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    parts = F.split(F.when(own.startswith("/"), own).otherwise(F.concat(folder, own)), "/")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+    )
+    ends = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    plain = F.concat(site, F.lit("/"), F.array_join(kept, "/"), ends, rest)
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | (target == "") | (site == ""), F.lit(None))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("#"), F.concat(site, path, query, target))
+        .when(target.startswith("?"), F.concat(site, path, target))
+        .otherwise(plain)
+    )
+
+
 def canonical_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst): a page's url and the absolute url that its canonical link or refresh names."""
+    """(src, dst): a page's url and each url that its canonical links and refreshes name, absolute."""
     html = F.col("html")
-    link = F.regexp_extract(html, r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url=([^\"'\s>]+)", 1)
-    return pages.select(F.col("url").alias("src"), F.explode(F.array(link, refresh)).alias("dst")).where(F.col("dst").contains("://"))
+    link = F.regexp_extract_all(html, F.lit(r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"), 1)
+    refresh = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"), 1)
+    found = pages.select("url", F.explode(F.concat(link, refresh)).alias("target"))
+    return found.select(F.col("url").alias("src"), resolved(decoded(F.col("target")), F.col("url")).alias("dst")).where(F.col("dst").isNotNull())
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from codexa.llm import decontaminate, extract
+from codexa.llm import decontaminate, extract, urls
 
 SF = "/root/testdata/sf0.1"
 
@@ -59,3 +59,17 @@ def test_boilerplate_without_names(spark):
         assert got[i] == got[10 + i] == want
     assert "Subscribe to us today" in got[20]  # a single page tells no template
     assert got[21].startswith("Own words")
+
+
+def test_targets_of_links(spark):
+    """Relative, protocol-relative and escaped targets, and several links on one page, carry a block."""
+    link = '<link rel="canonical" href="{}">'.format
+    rows = [
+        (1, "https://x.com/fr2/a/b?q", link("/de/1")), (2, "https://b.net/2", link("//x.com/de/2")), (3, "https://x.com/a/b", link("../de/3")), (4, "https://b.net/4", link("https://b.net/5?a=1&amp;b=2")),
+        (5, "https://b.net/5?a=1&b=2", link("https://x.com/de/5")), (6, "https://b.net/6", link("https://b.net/60") + link("https://x.com/de/6")), (7, "https://x.com/a/", '<meta http-equiv="refresh" content="0; url=../de/7">'),
+        (8, "https://x.com/c/b", link("de/8")), (9, "https://b.net/9", link("/de/9")), (10, "nothing", link("/de/1")), (11, "https://b.net/11", link("mailto:a@x.com/de/")), (12, None, link("/de/1")),
+        (13, "https://x.com/de2", link("de/./13")), (14, "https://b.net/14", "<meta http-equiv='refresh' content='0; url=//x.com/de/14'>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 7, 13, 14}
