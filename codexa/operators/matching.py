@@ -27,7 +27,8 @@ def index_search(docs: DataFrame, queries: DataFrame, must_match: float = 0.5, t
 
     A document must hold floor(terms * must_match) of the query's terms; terms that a query repeats count again.
     """
-    posted = docs.select("doc_id", F.explode("terms").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    wanted = queries.select(F.explode("terms").alias("term")).distinct()  # no other term counts, for documents or for scores
+    posted = docs.select("doc_id", F.explode("terms").alias("term")).join(F.broadcast(wanted), "term", "left_semi").groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
     total = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total))  # one row
     asked = queries.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).groupBy("query_id", "n_terms", "term").agg(F.count(F.lit(1)).alias("qf"))
