@@ -6,20 +6,24 @@ import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _written: list[str] = []
 
+BATCH_BYTES = 16_000_000
+
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Whole texts are long rows: fewer of them in an Arrow batch, unless the session already asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +102,48 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     return texts.join(F.broadcast(chosen), "doc_id").orderBy(order, "doc_id").select("text", "label").collect()
 
 
+def private(df: DataFrame, name: str) -> str:
+    """``name``, or a variant of it, that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"{name}_"
+    return name
+
+
+def text_batches(batches: Iterator, column: str = "text", limit: int = 1_000_000) -> Iterator:
+    """Cut Arrow batches into runs of at most ``limit`` bytes of text (one row at least), to bound memory."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // limit)) + 1
+        for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, batch.num_rows].tolist(), strict=True):
+            yield batch.slice(a, b - a)
+
+
+def map_texts(df: DataFrame, keep: list[str], make: Callable, shape: str, text: str = "text") -> DataFrame:
+    """The columns ``keep`` as they are, plus those of ``shape`` computed from every whole text.
+
+    ``make`` is called once in each task and gives the function from a list of texts to a list of columns. The kept
+    columns stay in Arrow, so that large ids beside nulls keep their value.
+    """
+    fields = StructType.fromDDL(shape)
+    schema = StructType([df.schema[c] for c in keep] + list(fields))
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+        each = make()
+        for part in text_batches(batches, text):
+            made = [pa.array(x, kinds[f.dataType.simpleString()]) for x, f in zip(each(part.column(text).to_pylist()), fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, names=schema.names)
+
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+
+
 def chunks(frames: Iterator, column: str = "text", limit: int = 1_000_000) -> Iterator:
     """Cut batches of pandas rows into runs of at most ``limit`` characters (one row at least), to bound memory."""
     for frame in frames:

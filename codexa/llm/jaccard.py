@@ -3,15 +3,18 @@
 1. Every text becomes a set of shingle hashes; texts of equal sets form one class, which stands for all its copies.
 2. Under any global order of the tokens, two sets that link share a token among the first ``n - need(n) + 1``
    (their prefix). Three orders are used: rarest first (by counts over all documents), rarest first in coarse steps with
-   other ties, and a random order. Postings of the first order's prefixes find the candidates; a candidate pair
-   must share a prefix token under the other two orders as well before its sets are compared.
-3. Pairs within a posting list are never all made. In a few rounds each class is compared with one leader of the lists it
-   stands in (the one it shares most prefix tokens with); links join classes into components. What is left are pairs
-   of *different* components, which are all made, filtered and compared, so no link between different texts is lost
-   that could change a component.
+   other ties, and a random order. Postings of the first order's prefixes find the candidates. A candidate pair must pass
+   the length and place bounds, must not differ in too many parity bits (a lower bound of the sets' difference), and must
+   share a prefix token under the other two orders as well, before the sets are sent anywhere and compared.
+3. Pairs within a posting list are never all made. In rounds each class is compared with one leader of the lists it stands
+   in (the one it shares most prefix tokens with); links join classes into components, and lists of one component
+   are closed. The rounds go on as long as they lessen the pairs of *different* components by a fifth and those outnumber the
+   postings. What is left then are pairs that don't link, or few; they are all filtered and compared, so no link
+   between different texts is lost that could change a component.
 
 Token counts come from a table of fixed width over hashed tokens, added up over all documents: any count works, as it
-only sets the order. Sets hold 48 bits of each token's hash.
+only sets the order, and the number of parts that a frequent token's list is dealt into. Sets hold 56 bits of each
+token's hash; classes are named by 64 bits.
 
 Edge cases: null, empty and wordless texts have an empty set and link with nothing; texts shorter than k words have one
 shingle, the whole sequence; repeated rows and exact copies fall into one class; a null id is never a component's name
@@ -20,61 +23,98 @@ unless no id is known; columns of other names are ignored; an empty table gives
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.common import chunks, delete, gather, materialise, pieces, table, tidy
+from codexa.llm.common import delete, gather, map_texts, materialise, pieces, private, table, tidy
 from codexa.llm.graph import connected_components
 from codexa.llm.words import mix, scan, shingles
 
-WIDTH, PIECE, ROUNDS = 1 << 20, 1 << 14, 3
-_MASK = np.uint64((1 << 48) - 1)
+WIDTH, PIECE, BYTES, SIGNS, SALTS, NAMED = 1 << 20, 1 << 14, 7, 8, 16, 24
+_MASK = np.uint64((1 << 8 * BYTES) - 1)
+_SIGNS = [f"s{k}" for k in range(SIGNS)]
 
 
 def pack(tokens: np.ndarray) -> bytes:
-    """Sorted 48-bit tokens in 6 bytes each."""
-    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """Sorted tokens, the lowest ``BYTES`` bytes of each."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(data) // BYTES, 8), np.uint8)
+    out[:, :BYTES] = np.frombuffer(data, np.uint8).reshape(-1, BYTES)
     return out.view("<u8").ravel()
 
 
+def parities(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(sets x SIGNS) whole numbers: each bit tells whether an odd number of a set's tokens hash to it.
+
+    Tokens of both sets cancel out, so two sets differ in at least as many tokens as their numbers in bits.
+    """
+    bits = 64 * SIGNS
+    out = np.zeros((len(first) - 1, SIGNS), np.int64)
+    for a in range(0, len(out), 256):
+        b = min(a + 256, len(out))
+        doc = np.repeat(np.arange(b - a), np.diff(first[a : b + 1]))
+        place = doc * bits + (mix(tokens[first[a] : first[b]], 21) >> np.uint64(55)).astype(np.int64)
+        odd = (np.bincount(place, minlength=(b - a) * bits) & 1).astype(np.uint8)
+        out[a:b] = np.packbits(odd).view(np.int64).reshape(-1, SIGNS)
+    return out
+
+
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, text) -> doc_id, n, class, tokens: the shingle set of every whole text and a hash of the set."""
+    """(doc_id, text) -> doc_id, n, class, tokens, s0...: the shingle set of every whole text and a hash of the set.
 
-    def run(frames):
-        for part in chunks(frames):
-            w = scan(part["text"])
+    The tokens of copies that one task meets are held once.
+    """
+
+    def make():
+        seen: set[int] = set()
+
+        def each(texts):
+            w = scan(texts)
             h, first = shingles(w.hashes(), w.first, k)
             h &= _MASK
             found = [np.unique(h[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
             whole = np.concatenate([*found, np.zeros(0, np.uint64)])
+            n = np.array([len(x) for x in found], np.int64)
+            at = np.r_[0, np.cumsum(n)]
             sums = np.r_[np.uint64(0), np.cumsum(mix(whole, 3))]
-            at = np.r_[0, np.cumsum([len(x) for x in found])]
-            name = mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64), 5).astype(np.int64)
-            yield part[["doc_id"]].assign(n=np.diff(at), **{"class": name}, tokens=[pack(x) for x in found])
+            name = mix(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64), 5).astype(np.int64)
+            fresh = []
+            for x in name.tolist():
+                fresh.append(x not in seen)
+                seen.add(x)
+            tokens = [pack(x) if new and len(x) else None for x, new in zip(found, fresh, strict=True)]
+            return [n, name, tokens, *parities(whole, at).T]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, class long, tokens binary")
+        return each
+
+    return map_texts(docs.select("doc_id", "text"), ["doc_id"], make, "n long, class long, tokens binary, " + ", ".join(f"{s} long" for s in _SIGNS))
 
 
 def token_counts(owned: DataFrame) -> np.ndarray:
-    """How often tokens of each hash bucket occur in the sets of all documents."""
+    """How often tokens of each hash bucket occur in the sets of all documents (copies met by one task count once)."""
 
     def run(frames):
         total = np.zeros(WIDTH, np.int32)
         for frame in frames:
+            held, size = [], 0
             for data in frame["tokens"]:
-                total += np.bincount((unpack(data) & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH).astype(np.int32) if len(data) > WIDTH else 0
-            small = [unpack(data) for data in frame["tokens"] if len(data) <= WIDTH]
-            if small:
-                total += np.bincount((np.concatenate(small) & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH).astype(np.int32)
-        yield pieces(total, PIECE)
+                held.append(unpack(data))
+                size += len(held[-1])
+                if size > 1_000_000:
+                    total += np.bincount((np.concatenate(held) & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH).astype(np.int32)
+                    held, size = [], 0
+            if held:
+                total += np.bincount((np.concatenate(held) & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH).astype(np.int32)
+        yield pieces(total.astype(np.int64), PIECE)
 
-    return gather(owned.select("tokens").mapInPandas(run, "piece int, data binary"), WIDTH, PIECE, "int32")
+    return gather(owned.where("tokens is not null").select("tokens").mapInPandas(run, "piece int, data binary"), WIDTH, PIECE)
 
 
 def order_key(tokens: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
@@ -96,61 +136,57 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, order: int, percent: int) ->
 
 
 def postings(owned: DataFrame, shared, percent: int) -> DataFrame:
-    """(token, class, n, at): the first order's prefixes; copies within a task are named once."""
+    """(token, class, n, at): the first order's prefixes."""
 
     def run(frames):
         import pandas as pd
 
-        counts, seen = shared.value, set()
+        counts = shared.value
         for frame in frames:
-            rows = []
-            for n, name, data in zip(frame["n"], frame["class"], frame["tokens"], strict=True):
-                if n and name not in seen:
-                    seen.add(name)
-                    rows.append((name, n, prefix(unpack(data), counts, 0, percent)))
-            if rows:
-                lengths = [len(r[2]) for r in rows]
+            for a in range(0, len(frame), 200):
+                part = frame.iloc[a : a + 200]
+                found = [prefix(unpack(data), counts, 0, percent) for data in part["tokens"]]
+                lengths = [len(x) for x in found]
                 yield pd.DataFrame(
                     {
-                        "token": np.concatenate([r[2] for r in rows]).astype(np.int64), "class": np.repeat([r[0] for r in rows], lengths),
-                        "n": np.repeat([r[1] for r in rows], lengths), "at": np.concatenate([np.arange(x) for x in lengths]),
+                        "token": np.concatenate(found).astype(np.int64), "class": np.repeat(part["class"].to_numpy(), lengths),
+                        "n": np.repeat(part["n"].to_numpy(np.int32), lengths), "at": np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]),
                     }
                 )
 
-    return owned.select("n", "class", "tokens").mapInPandas(run, "token long, class long, n long, at long")
+    return owned.where("tokens is not null").select("n", "class", "tokens").mapInPandas(run, "token long, class long, n int, at int")
 
 
-def links(pairs: DataFrame, active: DataFrame, shared, percent: int) -> DataFrame:
-    """(a, b) of classes, each once -> the pairs that link.
+def frequent(counts: np.ndarray) -> list[tuple[int, int]]:
+    """(bucket, parts) of the buckets with many times the usual count, at most WIDTH / 64 of them: their lists are dealt into parts."""
+    limit = max(20_000, 64 * int(counts.mean()))
+    hot = np.flatnonzero(counts > limit)
+    return [(int(b), min(int(counts[b] // limit) + 1, 1 << 12)) for b in hot]
 
-    Sets come to ``a`` first, then meet those of ``b``. A pair whose prefixes under the other two orders are disjoint is
-    dropped before its sets are compared.
-    """
 
-    def run(frames):
-        counts, last, ready = shared.value, None, None
-        for frame in frames:
-            good = np.zeros(len(frame), bool)
-            for i, (b, x, y) in enumerate(frame[["b", "x", "y"]].itertuples(index=False, name=None)):
-                if b != last:
-                    last, y_set = b, unpack(y)
-                    ready = y_set, [np.sort(prefix(y_set, counts, o, percent)) for o in (1, 2)]
-                x_set = unpack(x)
-                if not all(common(p, prefix(x_set, counts, o, percent)) for o, p in zip((1, 2), ready[1], strict=True)):
-                    continue
-                both = common(x_set, ready[0])
-                good[i] = 100 * both >= percent * (len(x_set) + len(ready[0]) - both)
-            yield frame.loc[good, ["a", "b"]]
-
-    side = lambda name, at: active.select(F.col("class").alias(at), F.col("tokens").alias(name))
-    return pairs.join(side("x", "a"), "a").join(side("y", "b"), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+def shared_lists(posted: DataFrame) -> DataFrame:
+    """The postings whose token (and part) two classes have at least, each once; lists that are dealt into parts stay whole."""
 
+    def run(frames):
+        import pandas as pd
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """How many numbers two sorted sets share."""
-    at = np.searchsorted(a, b)
-    at[at == len(a)] = 0
-    return int(np.count_nonzero(a[at] == b)) if len(a) else 0
+        held, sure = None, False  # the last row so far: whether it stays may depend on the next
+        for frame in frames:
+            if held is not None:
+                frame = pd.concat([held, frame], ignore_index=True)
+            token, part, name = (frame[c].to_numpy() for c in ("token", "part", "class"))
+            same = np.r_[False, (token[1:] == token[:-1]) & (part[1:] == part[:-1])]
+            keep = ~(same & np.r_[False, name[1:] == name[:-1]])
+            frame, same = frame[keep], same[keep]
+            stay = same | np.r_[same[1:], False] | (frame["parts"].to_numpy() > 1)
+            stay[0] |= sure
+            held, sure = frame.iloc[-1:], bool(stay[-1])
+            yield frame.iloc[:-1][stay[:-1]]
+        if held is not None and sure:
+            yield held
+
+    dealt = posted.repartition("token", "part").sortWithinPartitions("token", "part", "class")
+    return dealt.mapInPandas(run, posted.schema)
 
 
 def fits(n, m, at, bt, percent: int):
@@ -163,32 +199,157 @@ def fits(n, m, at, bt, percent: int):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (overlap * (100 + percent) >= (n + m) * percent)
 
 
-def once(owned: DataFrame) -> DataFrame:
-    """(class, tokens): each class's set, named once by a task; so copies don't travel."""
+def near(x: str, y: str, percent: int):
+    """Whether the parity bits of two sets (columns of the prefixes ``x`` and ``y``) leave it open that they link."""
+    n = F.col(f"{x}n") + F.col(f"{y}n")
+    differ = reduce(add, [F.bit_count(F.col(f"{x}{s}").bitwiseXOR(F.col(f"{y}{s}"))) for s in _SIGNS])
+    return (n - differ) * (100 + percent) >= n * (2 * percent)
+
+
+def named(classes: DataFrame) -> np.ndarray:
+    """A filter of 2 ** NAMED bits of the classes: its size is fixed, and it only saves reading other classes' sets."""
+    at = F.pmod(F.xxhash64("class"), F.lit(1 << NAMED))
+    words = classes.select(F.shiftrightunsigned(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(class), {1 << NAMED}) & 63 as int))").alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).collect()  # at most 2 ** (NAMED - 6) rows
+    out = np.zeros(1 << (NAMED - 6), np.int64)
+    for row in found:
+        out[row["w"]] = row["b"]
+    return out
+
+
+def fetched(owned: DataFrame, pairs: DataFrame, shared, percent: int) -> DataFrame:
+    """(class, p1, p2, tokens) of the classes in ``pairs``: prefixes under the second and third order, and the sets."""
+    spark = owned.sparkSession
+    bits = spark.sparkContext.broadcast(named(pairs.select(F.col("a").alias("class")).union(pairs.select("b"))))
+    shape = "class long, p1 array<int>, p2 array<int>, tokens binary"
 
     def run(frames):
-        seen: set[int] = set()
+        import pandas as pd
+
         for frame in frames:
-            fresh = ~(frame["class"].duplicated() | frame["class"].isin(seen))
-            seen.update(frame["class"][fresh])
-            yield frame[fresh]
+            at = frame["at"].to_numpy()
+            frame = frame[(bits.value[at >> 6] >> (at & 63)) & 1 == 1]
+            for a in range(0, len(frame), 200):
+                part = frame.iloc[a : a + 200]
+                tokens = [unpack(x) for x in part["tokens"]]
+                p1, p2 = ([(prefix(x, shared.value, o, percent) >> np.uint64(24)).astype(np.uint32).view(np.int32) for x in tokens] for o in (1, 2))
+                yield pd.DataFrame({"class": part["class"], "p1": p1, "p2": p2, "tokens": part["tokens"]})
+
+    rows = owned.where("tokens is not null").select("class", F.pmod(F.xxhash64("class"), F.lit(1 << NAMED)).alias("at"), "tokens")
+    return materialise(rows.mapInPandas(run, shape).dropDuplicates(["class"]), "jaccard-sets")
+
+
+def links(pairs: DataFrame, owned: DataFrame, shared, percent: int) -> DataFrame:
+    """(a, b) of classes, each pair once -> a table of the pairs that link.
+
+    Prefixes under the other two orders meet first; only the sets of pairs that share a token under both are joined to them.
+    """
+    spark = owned.sparkSession
+    sets_ = fetched(owned, pairs, shared, percent)
+
+    def run(frames):
+        for frame in frames:
+            good = np.zeros(len(frame), bool)
+            last, y_set = None, None
+            for i, (b, x, y) in enumerate(frame[["b", "x", "y"]].itertuples(index=False, name=None)):
+                if b != last:
+                    last, y_set = b, unpack(y)
+                x_set = unpack(x)
+                both = common(x_set, y_set)
+                good[i] = 100 * both >= percent * (len(x_set) + len(y_set) - both)
+            yield frame.loc[good, ["a", "b"]]
 
-    return owned.select("class", "tokens").mapInPandas(run, "class long, tokens binary")
+    side = lambda at, **columns: sets_.select(F.col("class").alias(at), *(F.col(c).alias(name) for name, c in columns.items()))
+    met = pairs.join(side("a", x1="p1", x2="p2"), "a").join(side("b", y1="p1", y2="p2"), "b").where(F.arrays_overlap("x1", "y1") & F.arrays_overlap("x2", "y2"))
+    met = materialise(met.select("a", "b"), "jaccard-met")
+    found = materialise(met.join(side("a", x="tokens"), "a").join(side("b", y="tokens"), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "jaccard-links")
+    delete(spark, sets_)
+    delete(spark, met)
+    return found
 
 
-def with_components(live: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Postings with the component of their class; a class without links is its own."""
-    if comps is None:
-        return live.withColumn("comp", F.col("class"))
-    return live.join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many numbers two sorted sets share."""
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return int(np.count_nonzero(a[at] == b)) if len(a) else 0
 
 
-def joined(pairs: DataFrame, active: DataFrame, shared, percent: int, edges: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Compare the pairs; all links so far, and the components (class, comp) that they make."""
-    found = materialise(links(pairs, active, shared, percent), "jaccard-links")
-    edges = found if edges is None else edges.unionByName(found)
-    comps = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    return edges, materialise(comps.select(F.col("node").alias("class"), F.col("component").alias("comp")), "jaccard-comps")
+def led(now: DataFrame, step: float, turn: int, percent: int, dealt: bool) -> DataFrame:
+    """(a, b): each class with the leader that most of its lists have, where the two are of different components."""
+    rows = now.withColumn("band", F.floor(F.log("n") / F.lit(step)))
+    one = F.struct("class", "n", "at", "comp")
+    first = lambda: F.min_by(one, F.xxhash64(F.col("class"), F.lit(turn)))
+    heads = rows.groupBy("token", "part", "band").agg(first().alias("head"))
+    met = rows.join(heads, ["token", "part", "band"]).select("class", "n", "at", "comp", "head")
+    if dealt:  # the leaders of a list's parts meet in their turn
+        parts = heads.select("token", "band", "head.*")
+        top = parts.groupBy("token", "band").agg(first().alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+        met = met.unionByName(parts.join(top, ["token", "band"]).select("class", "n", "at", "comp", "head"))
+    met = met.where((F.col("comp") != F.col("head.comp")) & fits(F.col("n"), F.col("head.n"), F.col("at"), F.col("head.at"), percent))
+    votes = met.groupBy("class", F.col("head.class").alias("head")).agg(F.count(F.lit(1)).alias("votes"))
+    return votes.groupBy(F.col("class").alias("a")).agg(F.max_by("head", F.struct("votes", "head")).alias("b"))
+
+
+def grouped(owned: DataFrame, shared, percent: int) -> DataFrame:
+    """(class, comp): the components that links join classes into; classes without links have no row."""
+    spark = owned.sparkSession
+    hot = frequent(shared.value)
+    posted = postings(owned, shared, percent)
+    if hot:
+        parts = F.broadcast(spark.createDataFrame(hot, "bucket int, parts int"))  # at most WIDTH / 64 rows
+        posted = posted.join(parts, F.col("token").bitwiseAND(F.lit(WIDTH - 1)) == F.col("bucket"), "left").withColumn("parts", F.coalesce("parts", F.lit(1))).drop("bucket")
+    else:
+        posted = posted.withColumn("parts", F.lit(1))
+    posted = posted.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    now = materialise(shared_lists(posted).drop("parts").withColumn("comp", F.col("class")), "jaccard-lists")
+    del posted
+    tidy(spark)
+    signs = materialise(owned.where("tokens is not null").select("class", "n", *_SIGNS).dropDuplicates(["class"]), "jaccard-signs")
+    side = lambda at, p: signs.select(F.col("class").alias(at), *(F.col(c).alias(p + c) for c in ("n", *_SIGNS)))
+
+    step, few = float(np.log(100 / percent)), now.count()
+    comps, before, turn = None, None, 0
+    while True:
+        if comps is not None:
+            with_comps = now.drop("comp").join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+            after = materialise(with_comps.select(now.columns), "jaccard-lists")
+            delete(spark, now)
+            tally = after.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token")
+            tally = tally.agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p")).where("p > 0")
+            open_ = materialise(tally, "jaccard-open")
+            left = open_.agg(F.sum("p")).first()[0] or 0
+            now = materialise(after.join(open_.select("token"), "token").select(after.columns), "jaccard-lists")
+            delete(spark, after)
+            delete(spark, open_)
+            if left <= few or (before is not None and left > 0.8 * before):
+                break
+            before = left
+        pairs = led(now, step, turn, percent, bool(hot)).join(side("a", "x"), "a").join(side("b", "y"), "b").where(near("x", "y", percent))
+        comps = merged(materialise(pairs.select("a", "b"), "jaccard-pairs"), owned, comps, shared, percent)
+        turn += 1
+    # what is left: pairs of different components in one list, at the tokens that leave it open whether they link
+    rest = materialise(now.join(signs.drop("n"), "class"), "jaccard-rest")
+    x, y = (rest.select(*(F.col(c).alias(p + c) for c in rest.columns)) for p in "xy")
+    apart = (F.col("xtoken") == F.col("ytoken")) & (F.col("xclass") < F.col("yclass")) & (F.col("xcomp") != F.col("ycomp"))
+    able = fits(F.col("xn"), F.col("yn"), F.col("xat"), F.col("yat"), percent) & near("x", "y", percent)
+    pairs = x.join(y, apart & able).select(F.col("xclass").alias("a"), F.col("yclass").alias("b")).distinct()
+    comps = merged(materialise(pairs, "jaccard-pairs"), owned, comps, shared, percent)
+    for done in (now, rest, signs):
+        delete(spark, done)
+    return comps
+
+
+def merged(pairs: DataFrame, owned: DataFrame, comps: DataFrame | None, shared, percent: int) -> DataFrame:
+    """Compare the pairs; the components (class, comp) that their links and the earlier components make."""
+    edges = found = links(pairs, owned, shared, percent)
+    if comps is not None:
+        edges = found.unionByName(comps.where("class <> comp").select(F.col("class").alias("a"), F.col("comp").alias("b")))
+    whole = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    out = materialise(whole.select(F.col("node").alias("class"), F.col("component").alias("comp")), "jaccard-comps")
+    for done in (pairs, found, *([] if comps is None else [comps])):
+        delete(pairs.sparkSession, done)
+    return out
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -196,68 +357,32 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     owned = materialise(sets(docs, k), "jaccard-owned")
     shared = spark.sparkContext.broadcast(token_counts(owned))  # WIDTH counts, whatever the input
-    meta = materialise(owned.select("doc_id", "n", "class"), "jaccard-meta")
-    posted = materialise(postings(owned, shared, percent), "jaccard-postings")
-    several = posted.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("token")
-    live = materialise(posted.join(several, "token").distinct(), "jaccard-live")
-    delete(spark, posted)
-    del several, posted
-    tidy(spark)
-    # only classes that share a prefix token with another can link: theirs are the sets that are kept
-    kept = once(owned).join(live.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("tokens").alias("tokens"))
-    active = materialise(kept, "jaccard-active")
-    delete(spark, owned)
-    del kept
-    tidy(spark)
-
-    step, postings_left = np.log(100 / percent), live.count()
-    live = live.withColumn("band", F.floor(F.log("n") / F.lit(float(step))))
-    edges, comps = None, None
-    for turn in range(ROUNDS):
-        now = with_components(live, comps)
-        leader = F.min_by(F.struct("class", "n", "at", "comp"), F.xxhash64(F.col("class"), F.lit(turn)))
-        heads = now.groupBy("token", "band").agg(leader.alias("head"))
-        met = now.join(heads, ["token", "band"]).where((F.col("comp") != F.col("head.comp")) & fits(F.col("n"), F.col("head.n"), F.col("at"), F.col("head.at"), percent))
-        votes = met.groupBy("class", F.col("head.class").alias("head")).agg(F.count(F.lit(1)).alias("votes"))
-        best = votes.groupBy("class").agg(F.max_by("head", F.struct("votes", "head")).alias("head"))
-        pairs = materialise(best.select(F.col("class").alias("a"), F.col("head").alias("b")), "jaccard-pairs")
-        edges, comps = joined(pairs, active, shared, percent, edges)
-        tidy(spark)
-        # pairs of different components that stand in one list: stop when they are no more than the postings
-        now = with_components(live, comps).groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-        left = now.groupBy("token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p")).agg(F.sum("p")).first()[0] or 0
-        if left <= postings_left:
-            break
-    # what is left: pairs of different components in one list; the tokens shared up to a place bound the overlap
-    now = with_components(live, comps)
-    open_lists = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
-    rest = materialise(now.join(open_lists, "token").select("token", "class", "n", "at", "comp"), "jaccard-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.comp") != F.col("y.comp"))
-    able = fits(F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at"), percent)
-    pairs = x.join(y, apart & able).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    edges, comps = joined(materialise(pairs, "jaccard-pairs"), active, shared, percent, edges)
-
-    rows = meta
-    names = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    names = names.join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    comps = grouped(owned, shared, percent)
+    rows = owned.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
+    names = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    names = names.join(comps, "class", "left").withColumn("linked", F.col("comp").isNotNull()).withColumn("comp", F.coalesce("comp", "class"))
     lowest = names.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_class = names.join(lowest, "comp").select("class", "component_id", F.lit(1).alias("known"))
-    out = rows.withColumn("class", F.when(F.col("n") > 0, F.col("class"))).join(of_class, "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # only classes of several documents or with links need their name brought to them; it is, to each of SALTS parts of a class
+    known = names.where("linked or copies > 1").join(lowest, "comp").select("class", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_shingles"), F.lit(SALTS)).cast("int")).join(known, ["class", "salt"], "left")
+    out = materialise(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "jaccard-out")
+    delete(spark, owned)
+    delete(spark, comps)
+    return out
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """All columns of the documents that stay: of each component the one of least id (a null id comes last).
+    """All columns of the documents that stay: of each component the one of least id (a null id comes last; ties: by a hash).
 
-    Rows are told apart by a hash of id and text; rows equal in both are one document. Documents without words stay.
+    Rows that are equal in every column are one document. Documents without words stay.
     """
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    names = keyed.select("_row", "doc_id").distinct()
-    found = components(keyed.select(F.col("_row").alias("doc_id"), "text"), k, percent).distinct()
-    joined = found.join(names.select("_row", F.col("doc_id").alias("name")), F.col("doc_id") == F.col("_row"))
-    stay = joined.groupBy("component_id").agg(F.min_by("_row", F.struct(F.col("name").isNull(), "name", "_row")).alias("_row")).select("_row")
-    return keyed.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
+    row = private(docs, "row")
+    keyed = docs.withColumn(row, F.xxhash64(*docs.columns))
+    names = materialise(keyed.select(F.col(row).alias("row"), "doc_id").distinct(), "jaccard-names")
+    found = components(keyed.select(F.col(row).alias("doc_id"), "text"), k, percent).distinct()
+    joined = found.join(names.select("row", F.col("doc_id").alias("name")), F.col("doc_id") == F.col("row"))
+    stay = joined.groupBy("component_id").agg(F.min_by("row", F.struct(F.col("name").isNull(), "name", "row")).alias(row)).select(row)
+    return keyed.join(stay, row, "left_semi").dropDuplicates([row]).select(docs.columns)
 
 
 def query(spark, sf_dir):

@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from codexa.llm import decontaminate, jaccard
@@ -55,6 +56,51 @@ def test_components_brute_force(spark, k, percent):
     assert got == brute(rows, k, percent)
 
 
+@pytest.mark.parametrize("dealt", [False, True])
+def test_large_group_of_near_copies(spark, monkeypatch, dealt):
+    """One group of near copies, many of which link only by way of others, with posting lists whole and dealt into parts."""
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 900)}" for _ in range(120)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = f"v{rng.randint(0, 50)}"
+        rows.append((i * 2 + 5, " ".join(words)))
+    rows += [(1000 + i, " ".join(f"u{rng.randint(0, 900)}" for _ in range(90))) for i in range(30)]
+    if dealt:
+        monkeypatch.setattr(jaccard, "frequent", lambda counts: [(int(b), 4) for b in (counts > 40).nonzero()[0]])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components(docs, 5, 80).collect()}
+    assert got == brute(rows, 5, 80)
+
+
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for n in (1, 9, 300, 4000):
+        whole = np.unique(rng.integers(0, 1 << 56, n * 2, dtype=np.uint64))
+        x, y = whole[: len(whole) * 2 // 3], whole[len(whole) // 3 :]
+        a, b = jaccard.parities(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
+        assert 0 < sum(int(v).bit_count() for v in (a ^ b).view(np.uint64)) <= len(x) + len(y) - 2 * jaccard.common(x, y)
+
+
+def test_large_ids_beside_null(spark):
+    rows = [(2**53 + 1, "a b c d e f", 1), (None, "a b c d e f", 2), (2**53 + 3, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.components(docs).collect()}
+    assert got == {(2**53 + 1, 2**53 + 1), (None, 2**53 + 1), (2**53 + 3, 2**53 + 3)}
+    stay = jaccard.one_of_each(docs)
+    assert stay.columns == docs.columns and sorted(tuple(r) for r in stay.collect()) == [(2**53 + 1, "a b c d e f", 1), (2**53 + 3, None, 3)]
+
+
+def test_rows_that_differ_elsewhere(spark):
+    """Equal in id and text, of different sources: one stays, always the same."""
+    rows = [(1, "a b c d e f", s) for s in "zyxwv"] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = [tuple(r) for r in jaccard.one_of_each(docs).collect()]
+    assert len(first) == 1 and first == [tuple(r) for r in jaccard.one_of_each(docs.repartition(3)).collect()]
+
+
 def test_one_of_each(spark):
     rows = [(4, "a b c d e f g"), (2, "a b c d e f g"), (9, "other words stand here now"), (None, "a b c d e f g"), (7, None), (8, ""), (2, "a b c d e f g")]
     docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
