@@ -261,10 +261,9 @@ def links(pairs: DataFrame, owned: DataFrame, shared, percent: int) -> DataFrame
 
     side = lambda at, **columns: sets_.select(F.col("class").alias(at), *(F.col(c).alias(name) for name, c in columns.items()))
     met = pairs.join(side("a", x1="p1", x2="p2"), "a").join(side("b", y1="p1", y2="p2"), "b").where(F.arrays_overlap("x1", "y1") & F.arrays_overlap("x2", "y2"))
-    met = materialise(met.select("a", "b"), "jaccard-met")
-    found = materialise(met.join(side("a", x="tokens"), "a").join(side("b", y="tokens"), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "jaccard-links")
+    found = materialise(met.select("a", "b").join(side("a", x="tokens"), "a").join(side("b", y="tokens"), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "jaccard-links")
     delete(spark, sets_)
-    delete(spark, met)
+    delete(spark, pairs)
     return found
 
 
@@ -309,7 +308,7 @@ def grouped(owned: DataFrame, shared, percent: int) -> DataFrame:
     side = lambda at, p: signs.select(F.col("class").alias(at), *(F.col(c).alias(p + c) for c in ("n", *_SIGNS)))
 
     step, few = float(np.log(100 / percent)), now.count()
-    labels, found, before, turn = None, None, None, 0
+    labels, found, before, turn = None, [], None, 0
     while True:
         if labels is not None:
             after = now.drop("comp").join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
@@ -317,17 +316,15 @@ def grouped(owned: DataFrame, shared, percent: int) -> DataFrame:
             delete(spark, now)
             tally = after.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token")
             tally = tally.agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p")).where("p > 0")
-            open_ = materialise(tally, "jaccard-open")
-            left = open_.agg(F.sum("p")).first()[0] or 0
-            now = materialise(after.join(open_.select("token"), "token").select(after.columns), "jaccard-lists")
+            left = tally.agg(F.sum("p")).first()[0] or 0
+            now = materialise(after.join(tally.select("token"), "token").select(after.columns), "jaccard-lists")
             delete(spark, after)
-            delete(spark, open_)
             if left <= 2 * few or (before is not None and left > 0.8 * before):
                 break
             before = left
         pairs = led(now, step, turn, percent, bool(hot)).join(side("a", "x"), "a").join(side("b", "y"), "b").where(near("x", "y", percent))
-        found = linked(materialise(pairs.select("a", "b"), "jaccard-pairs"), owned, found, shared, percent)
-        labels = spread(found, labels)
+        found.append(links(materialise(pairs.select("a", "b"), "jaccard-pairs"), owned, shared, percent))
+        labels = spread(reduce(DataFrame.unionByName, found), labels)
         turn += 1
     # what is left: pairs of different components in one list, at the tokens that leave it open whether they link
     rest = materialise(now.join(signs.drop("n"), "class"), "jaccard-rest")
@@ -335,44 +332,31 @@ def grouped(owned: DataFrame, shared, percent: int) -> DataFrame:
     apart = (F.col("xtoken") == F.col("ytoken")) & (F.col("xclass") < F.col("yclass")) & (F.col("xcomp") != F.col("ycomp"))
     able = fits(F.col("xn"), F.col("yn"), F.col("xat"), F.col("yat"), percent) & near("x", "y", percent)
     pairs = x.join(y, apart & able).select(F.col("xclass").alias("a"), F.col("yclass").alias("b")).distinct()
-    found = linked(materialise(pairs, "jaccard-pairs"), owned, found, shared, percent)
-    comps = connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    found.append(links(materialise(pairs, "jaccard-pairs"), owned, shared, percent))
+    comps = connected_components(reduce(DataFrame.unionByName, found).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     comps = materialise(comps.select(F.col("node").alias("class"), F.col("component").alias("comp")), "jaccard-comps")
-    for done in (now, rest, signs, labels, found):
+    for done in (now, rest, signs, labels, *found):
         delete(spark, done)
     return comps
 
 
-def linked(pairs: DataFrame, owned: DataFrame, earlier: DataFrame | None, shared, percent: int) -> DataFrame:
-    """Compare the pairs; a table of their links and the earlier ones."""
-    found = links(pairs, owned, shared, percent)
-    delete(pairs.sparkSession, pairs)
-    if earlier is None:
-        return found
-    both = materialise(found.unionByName(earlier), "jaccard-links")
-    for done in (found, earlier):
-        delete(pairs.sparkSession, done)
-    return both
-
-
 def spread(found: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(class, comp) for the classes of all links so far: the least class two links away at most from its earlier label.
 
     Every follower of a leader gets the same label; longer chains only partly do, which costs comparisons but loses no link.
     """
-    spark = found.sparkSession
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    before = labels
     for _ in range(2):
         if labels is None:
-            step = both.groupBy(F.col("a").alias("class")).agg(F.least(F.min("b"), F.col("a")).alias("comp"))
+            labels = both.groupBy(F.col("a").alias("class")).agg(F.least(F.min("b"), F.col("a")).alias("comp"))
         else:
             by_other = labels.select(F.col("class").alias("b"), F.col("comp").alias("other"))
             step = both.join(by_other, "b", "left").select(F.col("a").alias("class"), F.coalesce("other", "b").alias("comp"))
-            step = step.unionByName(labels).groupBy("class").agg(F.least(F.min("comp"), F.col("class")).alias("comp"))
-        after = materialise(step, "jaccard-labels")
-        if labels is not None:
-            delete(spark, labels)
-        labels = after
+            labels = step.unionByName(labels).groupBy("class").agg(F.least(F.min("comp"), F.col("class")).alias("comp"))
+    labels = materialise(labels, "jaccard-labels")
+    if before is not None:
+        delete(found.sparkSession, before)
     return labels
 
 
