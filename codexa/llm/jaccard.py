@@ -6,11 +6,12 @@
    other ties, and a random order. Postings of the first order's prefixes find the candidates. A candidate pair must pass
    the length and place bounds, must not differ in too many parity bits (a lower bound of the sets' difference), and must
    share a prefix token under the other two orders as well, before the sets are sent anywhere and compared.
-3. Pairs within a posting list are never all made. In rounds each class is compared with one leader of the lists it stands
-   in (the one it shares most prefix tokens with); links join classes into components, and lists of one component
-   are closed. The rounds go on as long as they lessen the pairs of *different* components by a fifth and those outnumber the
-   postings. What is left then are pairs that don't link, or few; they are all filtered and compared, so no link
-   between different texts is lost that could change a component.
+3. Pairs within a posting list are never all made, but for lists of ``FEW`` classes at most. Each class is compared with
+   the leader that most of its lists have; links join classes into components, and lists of one component are closed.
+   In the long lists left, classes meet ``FEW`` leaders of other components in rounds, for as long as this finds
+   more than single links. What is left then are classes that link with nearly none of their lists' others; their pairs
+   of *different* components are all filtered and compared, so no link between different texts is lost that could change
+   a component.
 
 Token counts come from a table of fixed width over hashed tokens, added up over all documents: any count works, as it
 only sets the order, and the number of parts that a frequent token's list is dealt into. Sets hold 56 bits of each
@@ -34,7 +35,7 @@ from codexa.llm.common import delete, gather, map_texts, materialise, pieces, pr
 from codexa.llm.graph import connected_components
 from codexa.llm.words import mix, scan, shingles
 
-WIDTH, PIECE, BYTES, SIGNS, SALTS, NAMED = 1 << 20, 1 << 14, 7, 8, 16, 24
+WIDTH, PIECE, BYTES, SIGNS, SALTS, NAMED, FEW = 1 << 20, 1 << 14, 7, 8, 16, 24, 8
 _MASK = np.uint64((1 << 8 * BYTES) - 1)
 _SIGNS = [f"s{k}" for k in range(SIGNS)]
 
@@ -274,11 +275,11 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(a[at] == b)) if len(a) else 0
 
 
-def led(now: DataFrame, step: float, turn: int, percent: int, dealt: bool) -> DataFrame:
+def led(now: DataFrame, step: float, percent: int, dealt: bool) -> DataFrame:
     """(a, b): each class with the leader that most of its lists have, where the two are of different components."""
     rows = now.withColumn("band", F.floor(F.log("n") / F.lit(step)))
     one = F.struct("class", "n", "at", "comp")
-    first = lambda: F.min_by(one, F.xxhash64(F.col("class"), F.lit(turn)))
+    first = lambda: F.min_by(one, F.xxhash64("class"))
     heads = rows.groupBy("token", "part", "band").agg(first().alias("head"))
     met = rows.join(heads, ["token", "part", "band"]).select("class", "n", "at", "comp", "head")
     if dealt:  # the leaders of a list's parts meet in their turn
@@ -307,39 +308,70 @@ def grouped(owned: DataFrame, shared, percent: int) -> DataFrame:
     signs = materialise(owned.where("tokens is not null").select("class", "n", *_SIGNS).dropDuplicates(["class"]), "jaccard-signs")
     side = lambda at, p: signs.select(F.col("class").alias(at), *(F.col(c).alias(p + c) for c in ("n", *_SIGNS)))
 
-    step, few = float(np.log(100 / percent)), now.count()
-    labels, found, before, turn = None, [], None, 0
+    step = float(np.log(100 / percent))
+    # each class and one leader of its lists
+    pairs = led(now, step, percent, bool(hot)).join(side("a", "x"), "a").join(side("b", "y"), "b").where(near("x", "y", percent))
+    found = [links(materialise(pairs.select("a", "b"), "jaccard-pairs"), owned, shared, percent)]
+    labels = spread(found[0], None)
+    # lists of a few classes: all their pairs of different components, once
+    now = still_open(now.drop("part"), labels)
+    sized = now.join(now.groupBy("token").agg(F.count(F.lit(1)).alias("c")), "token").join(signs.drop("n"), "class")
+    sized = materialise(sized, "jaccard-sized")
+    delete(spark, now)
+    few, now = apart(sized.where(F.col("c") <= FEW).drop("c"), percent), sized.where(F.col("c") > FEW).drop("c")
+    # long lists: FEW leaders each, as long as that finds more than single links
+    turn, some = 0, found[0].count()
     while True:
-        if labels is not None:
-            after = now.drop("comp").join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-            after = materialise(after.select(now.columns), "jaccard-lists")
-            delete(spark, now)
-            tally = after.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token")
-            tally = tally.agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p")).where("p > 0")
-            left = tally.agg(F.sum("p")).first()[0] or 0
-            now = materialise(after.join(tally.select("token"), "token").select(after.columns), "jaccard-lists")
-            delete(spark, after)
-            if left <= 2 * few or (before is not None and left > 0.8 * before):
-                break
-            before = left
-        pairs = led(now, step, turn, percent, bool(hot)).join(side("a", "x"), "a").join(side("b", "y"), "b").where(near("x", "y", percent))
-        found.append(links(materialise(pairs.select("a", "b"), "jaccard-pairs"), owned, shared, percent))
+        pairs = met(now, step, turn, percent)
+        pairs = materialise((pairs if turn else pairs.unionByName(few)).distinct(), "jaccard-pairs")
+        found.append(links(pairs, owned, shared, percent))
         labels = spread(reduce(DataFrame.unionByName, found), labels)
-        turn += 1
+        after = still_open(now, labels)
+        delete(spark, now if turn else sized)
+        now, turn, new = after, turn + 1, found[-1].count()
+        some += new
+        if new <= some // 100:
+            break
     # what is left: pairs of different components in one list, at the tokens that leave it open whether they link
-    rest = materialise(now.join(signs.drop("n"), "class"), "jaccard-rest")
-    x, y = (rest.select(*(F.col(c).alias(p + c) for c in rest.columns)) for p in "xy")
-    apart = (F.col("xtoken") == F.col("ytoken")) & (F.col("xclass") < F.col("yclass")) & (F.col("xcomp") != F.col("ycomp"))
-    able = fits(F.col("xn"), F.col("yn"), F.col("xat"), F.col("yat"), percent) & near("x", "y", percent)
-    pairs = x.join(y, apart & able).select(F.col("xclass").alias("a"), F.col("yclass").alias("b")).distinct()
-    found.append(links(materialise(pairs, "jaccard-pairs"), owned, shared, percent))
+    found.append(links(materialise(apart(now, percent).distinct(), "jaccard-pairs"), owned, shared, percent))
     comps = connected_components(reduce(DataFrame.unionByName, found).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     comps = materialise(comps.select(F.col("node").alias("class"), F.col("component").alias("comp")), "jaccard-comps")
-    for done in (now, rest, signs, labels, *found):
+    for done in (now, signs, labels, *found):
         delete(spark, done)
     return comps
 
 
+def still_open(now: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists with the components as ``labels`` know them; those of one component are closed."""
+    spark = now.sparkSession
+    after = now.drop("comp").join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    after = materialise(after.select(now.columns), "jaccard-lists")
+    several = after.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+    kept = materialise(after.join(several, "token").select(now.columns), "jaccard-lists")
+    delete(spark, after)
+    return kept
+
+
+def apart(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that share a token and may link."""
+    x, y = (rows.select(*(F.col(c).alias(p + c) for c in rows.columns)) for p in "xy")
+    other = (F.col("xtoken") == F.col("ytoken")) & (F.col("xclass") < F.col("yclass")) & (F.col("xcomp") != F.col("ycomp"))
+    able = fits(F.col("xn"), F.col("yn"), F.col("xat"), F.col("yat"), percent) & near("x", "y", percent)
+    return x.join(y, other & able).select(F.col("xclass").alias("a"), F.col("yclass").alias("b"))
+
+
+def met(now: DataFrame, step: float, turn: int, percent: int) -> DataFrame:
+    """(a, b): classes and the leaders, FEW at most, of their lists that they may link with, in other components."""
+    rows = now.withColumn("band", F.floor(F.log("n") / F.lit(step)))
+    of = F.struct("class", "n", "at", "comp", *_SIGNS)
+    lead = rows.groupBy("token", "band", F.pmod(F.xxhash64(F.col("class"), F.lit(turn)), F.lit(FEW)).alias("r")).agg(F.min_by(of, F.xxhash64(F.col("class"), F.lit(-1 - turn))).alias("head"))
+    y = lead.select(F.col("token").alias("ytoken"), F.col("band").alias("yband"), *(F.col(f"head.{c}").alias(f"y{c}") for c in ("class", "n", "at", "comp", *_SIGNS)))
+    x = rows.select(*(F.col(c).alias(f"x{c}") for c in rows.columns))
+    other = (F.col("xtoken") == F.col("ytoken")) & (F.col("xband") == F.col("yband")) & (F.col("xcomp") != F.col("ycomp"))
+    able = fits(F.col("xn"), F.col("yn"), F.col("xat"), F.col("yat"), percent) & near("x", "y", percent)
+    return x.join(y, other & able).select(F.least("xclass", "yclass").alias("a"), F.greatest("xclass", "yclass").alias("b"))
+
+
 def spread(found: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(class, comp) for the classes of all links so far: the least class two links away at most from its earlier label.
 
