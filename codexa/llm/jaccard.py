@@ -51,24 +51,23 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def parities(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(sets x SIGNS) whole numbers: each bit tells whether an odd number of a set's tokens hash to it.
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Bytes of a power of two of bits, two for each token at least: each tells whether an odd number of tokens hash to it.
 
     Tokens of both sets cancel out, so two sets differ in at least as many tokens as their numbers in bits.
     """
-    bits = 64 * SIGNS
-    out = np.zeros((len(first) - 1, SIGNS), np.int64)
-    for a in range(0, len(out), 256):
-        b = min(a + 256, len(out))
-        doc = np.repeat(np.arange(b - a), np.diff(first[a : b + 1]))
-        place = doc * bits + (mix(tokens[first[a] : first[b]], 21) >> np.uint64(55)).astype(np.int64)
-        odd = (np.bincount(place, minlength=(b - a) * bits) & 1).astype(np.uint8)
-        out[a:b] = np.packbits(odd).view(np.int64).reshape(-1, SIGNS)
-    return out
+    bits = max(64 * SIGNS, 1 << (2 * len(tokens) - 1).bit_length())
+    place = (mix(tokens, 21) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8))
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The parity bits as ``size`` bytes would have them."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, text) -> doc_id, n, class, tokens, s0...: the shingle set of every whole text and a hash of the set.
+    """(doc_id, text) -> doc_id, n, class, tokens, wide, s0...: the shingle set of every whole text and a hash of the set.
 
     The tokens of copies that one task meets are held once.
     """
@@ -91,11 +90,13 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
                 fresh.append(x not in seen)
                 seen.add(x)
             tokens = [pack(x) if new and len(x) else None for x, new in zip(found, fresh, strict=True)]
-            return [n, name, tokens, *parities(whole, at).T]
+            wide = [parity(x) for x in found]
+            narrow = np.array([folded(x, 8 * SIGNS) for x in wide], np.uint8).reshape(-1, 8 * SIGNS).view(np.int64)
+            return [n, name, tokens, [x.tobytes() if t else None for x, t in zip(wide, tokens, strict=True)], *narrow.T]
 
         return each
 
-    return map_texts(docs.select("doc_id", "text"), ["doc_id"], make, "n long, class long, tokens binary, " + ", ".join(f"{s} long" for s in _SIGNS))
+    return map_texts(docs.select("doc_id", "text"), ["doc_id"], make, "n long, class long, tokens binary, wide binary, " + ", ".join(f"{s} long" for s in _SIGNS))
 
 
 def token_counts(owned: DataFrame) -> np.ndarray:
@@ -207,6 +208,24 @@ def near(x: str, y: str, percent: int):
     return (n - differ) * (100 + percent) >= n * (2 * percent)
 
 
+def alike(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) -> a table of the pairs that all their parity bits leave open."""
+
+    def run(frames):
+        for frame in frames:
+            good = []
+            for n, m, x, y in frame[["n", "m", "x", "y"]].itertuples(index=False, name=None):
+                size = min(len(x), len(y))
+                p, q = folded(np.frombuffer(x, np.uint8), size), folded(np.frombuffer(y, np.uint8), size)
+                differ = int(np.bitwise_count(p ^ q).sum())
+                good.append((n + m - differ) * (100 + percent) >= 2 * percent * (n + m))
+            yield frame.loc[np.array(good, bool), ["a", "b"]]
+
+    side = lambda at, size, wide: signs.select(F.col("class").alias(at), F.col("n").alias(size), F.col("wide").alias(wide))
+    met = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    return materialise(met.mapInPandas(run, "a long, b long"), "jaccard-pairs")
+
+
 def named(classes: DataFrame) -> np.ndarray:
     """A filter of 2 ** NAMED bits of the classes: its size is fixed, and it only saves reading other classes' sets."""
     at = F.pmod(F.xxhash64("class"), F.lit(1 << NAMED))
@@ -305,17 +324,17 @@ def grouped(owned: DataFrame, shared, percent: int) -> DataFrame:
     now = materialise(shared_lists(posted).drop("parts").withColumn("comp", F.col("class")), "jaccard-lists")
     del posted
     tidy(spark)
-    signs = materialise(owned.where("tokens is not null").select("class", "n", *_SIGNS).dropDuplicates(["class"]), "jaccard-signs")
+    signs = materialise(owned.where("tokens is not null").select("class", "n", "wide", *_SIGNS).dropDuplicates(["class"]), "jaccard-signs")
     side = lambda at, p: signs.select(F.col("class").alias(at), *(F.col(c).alias(p + c) for c in ("n", *_SIGNS)))
 
     step = float(np.log(100 / percent))
     # each class and one leader of its lists
     pairs = led(now, step, percent, bool(hot)).join(side("a", "x"), "a").join(side("b", "y"), "b").where(near("x", "y", percent))
-    found = [links(materialise(pairs.select("a", "b"), "jaccard-pairs"), owned, shared, percent)]
+    found = [links(alike(pairs.select("a", "b"), signs, percent), owned, shared, percent)]
     labels = spread(found[0], None)
     # lists of a few classes: all their pairs of different components, once
     now = still_open(now.drop("part"), labels)
-    sized = now.join(now.groupBy("token").agg(F.count(F.lit(1)).alias("c")), "token").join(signs.drop("n"), "class")
+    sized = now.join(now.groupBy("token").agg(F.count(F.lit(1)).alias("c")), "token").join(signs.drop("n", "wide"), "class")
     sized = materialise(sized, "jaccard-sized")
     delete(spark, now)
     few, now = apart(sized.where(F.col("c") <= FEW).drop("c"), percent), sized.where(F.col("c") > FEW).drop("c")
@@ -323,7 +342,7 @@ def grouped(owned: DataFrame, shared, percent: int) -> DataFrame:
     turn, some = 0, found[0].count()
     while True:
         pairs = met(now, step, turn, percent)
-        pairs = materialise((pairs if turn else pairs.unionByName(few)).distinct(), "jaccard-pairs")
+        pairs = alike((pairs if turn else pairs.unionByName(few)).distinct(), signs, percent)
         found.append(links(pairs, owned, shared, percent))
         labels = spread(reduce(DataFrame.unionByName, found), labels)
         after = still_open(now, labels)
@@ -333,7 +352,7 @@ def grouped(owned: DataFrame, shared, percent: int) -> DataFrame:
         if new <= some // 100:
             break
     # what is left: pairs of different components in one list, at the tokens that leave it open whether they link
-    found.append(links(materialise(apart(now, percent).distinct(), "jaccard-pairs"), owned, shared, percent))
+    found.append(links(alike(apart(now, percent).distinct(), signs, percent), owned, shared, percent))
     comps = connected_components(reduce(DataFrame.unionByName, found).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     comps = materialise(comps.select(F.col("node").alias("class"), F.col("component").alias("comp")), "jaccard-comps")
     for done in (now, signs, labels, *found):
