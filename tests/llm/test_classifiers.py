@@ -112,7 +112,10 @@ def test_counterfactual_penalty():
         scores = m.margins(*toxicity.features(["n1 n2 muslims n3", "n1 n2 christians n3"]))[:, 0]
         gap[weight] = abs(scores[0] - scores[1])
     assert gap[4.0] < 0.5 * gap[0.0]
-    assert toxicity.swapped("all Women here") == "all men here" and toxicity.swapped("none") is None
+    assert toxicity.swapped("none") is None and toxicity.swapped("all muslims here").split()[1] in toxicity.IDENTITY_TERMS[0]
+    others = {toxicity.swapped("all Women here", np.random.default_rng(k)).split()[1] for k in range(40)}
+    assert len(others) > 5 and others < set(toxicity.IDENTITY_TERMS[0]) - {"women"}
+    assert toxicity.swapped("mu\u017flims and wei\u00dfe") != "mu\u017flims and wei\u00dfe"  # a long s folds to s
 
 
 def test_language(spark):
