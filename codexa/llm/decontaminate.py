@@ -14,23 +14,26 @@
 
 Edge cases: null and empty texts and items match nothing; a text shorter than a passage is one passage; items of fewer
 than ``MIN_WORDS`` words are too short to tell and are only matched where their whole sequence of words stands; repeated
-rows are reported one by one; an empty table gives no rows; the benchmark is brought to all tasks only up to ``MAX_ITEMS``.
+rows are reported one by one; an empty table gives no rows; a benchmark of more than ``MAX_ITEMS`` items or ``MAX_CHARS``
+characters is brought to the tasks in parts, one after another.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.common import chunks, gather, materialise, pieces, table
-from codexa.llm.words import scan
+from codexa.llm.common import gather, map_texts, materialise, pieces, private, table
+from codexa.llm.words import mix, scan
 
 WIDTH, RANK, EXTRA, BLOCK, PIECE = 1 << 15, 64, 8, 24, 1 << 12
-COMMON, GRAM = 0.05, 4
-COSINE, OVERLAP, PARAPHRASE, MIN_WORDS, MAX_ITEMS = 0.4, 0.75, 0.55, 8, 100_000
+COMMON, GRAM, SIGNATURE, WORDS = 0.05, 4, 1024, 20_000
+COSINE, OVERLAP, PARAPHRASE, MIN_WORDS = 0.4, 0.75, 0.55, 8
+MAX_ITEMS, MAX_CHARS = 20_000, 20_000_000
 
 _EDGE = np.ones(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -46,12 +49,11 @@ def word_stream(texts) -> tuple[np.ndarray, np.ndarray]:
 def streams(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, n, words binary."""
 
-    def run(frames):
-        for part in chunks(frames):
-            h, first = word_stream(part["text"])
-            yield part[["doc_id"]].assign(n=np.diff(first), words=[h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)])
+    def each(texts):
+        h, first = word_stream(texts)
+        return [np.diff(first), [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, words binary")
+    return map_texts(docs.select("doc_id", "text"), ["doc_id"], lambda: each, "n long, words binary")
 
 
 def _flat(frame) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +61,7 @@ def _flat(frame) -> tuple[np.ndarray, np.ndarray]:
     return h, np.r_[0, np.cumsum(frame["n"].to_numpy(np.int64))]
 
 
-def _small(frames, words: int = 300_000):
+def _small(frames, words: int = WORDS):
     for frame in frames:
         group = np.cumsum(frame["n"].to_numpy(np.int64)) // words
         cuts = np.flatnonzero(np.diff(group)) + 1
@@ -121,15 +123,18 @@ def block_sums(table: np.ndarray, h: np.ndarray, start: np.ndarray, used: np.nda
     return out
 
 
-def signs(n: int, width: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 2, (n, width), dtype=np.int8) * 2 - 1
+def signs(names: np.ndarray, width: int) -> np.ndarray:
+    """(len(names) x width) of 1 and -1, drawn from each name by itself."""
+    lanes = [mix(names, 31 + k) for k in range(-(-width // 64))]
+    bits = np.unpackbits(np.stack(lanes, 1).view(np.uint8).reshape(len(names), -1), axis=1)[:, :width]
+    return bits.astype(np.float32) * 2 - 1
 
 
 def sketch(owned: DataFrame, weights, width: int) -> np.ndarray:
     """(width x WIDTH): random signed sums of all passages' TF-IDF rows.
 
     A passage's sign row belongs to its first block, so a block's words get the sum of the two passages it is in. The
-    signs are drawn from a hash of the words, so a lost task draws the same again.
+    signs are drawn from the document's id and the block's place, so they are the same however the rows are dealt.
     """
 
     def run(frames):
@@ -139,7 +144,7 @@ def sketch(owned: DataFrame, weights, width: int) -> np.ndarray:
             if not len(h):
                 continue
             start, doc = blocks_of(first)
-            s = signs(len(start), width, int(h[0])).astype(np.float32)
+            s = signs(frame["seed"].to_numpy().view(np.uint64)[doc] + (start - first[doc]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), width)
             before = np.vstack([np.zeros((1, width), np.float32), s[:-1]]) * np.r_[False, doc[1:] == doc[:-1]][:, None]
             s = s + before
             sizes = np.diff(np.r_[start, len(h)])
@@ -153,7 +158,8 @@ def sketch(owned: DataFrame, weights, width: int) -> np.ndarray:
         if total.any():
             yield pieces((total * weights.value).astype(np.float32).ravel(), PIECE * 4)
 
-    return gather(owned.select("n", "words").mapInPandas(run, "piece int, data binary"), width * WIDTH, PIECE * 4, "float32").reshape(width, WIDTH).astype(np.float64)
+    named = owned.select("n", "words", F.xxhash64("doc_id").alias("seed"))
+    return gather(named.mapInPandas(run, "piece int, data binary"), width * WIDTH, PIECE * 4, "float32").reshape(width, WIDTH).astype(np.float64)
 
 
 def _project(frame, rows: np.ndarray):
@@ -222,13 +228,18 @@ def answer_of(text: str) -> str:
     return pieces_[-1] if pieces_ else ""
 
 
-def items_of(benchmark: DataFrame, limit: int = MAX_ITEMS) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(item_id, words, words of the answer) of the items that have words, after a check of their number."""
-    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} benchmark items: search them in runs of at most that many")
+def item_parts(benchmark: DataFrame, rows: int = MAX_ITEMS, chars: int = MAX_CHARS) -> list[DataFrame]:
+    """The items that have a text and an id, each once, in as many parts as their number and size ask for."""
+    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct()
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()
+    parts = max(-(-size["n"] * 2 // rows), -(-size["c"] * 2 // chars)) if size["n"] > rows or size["c"] > chars else 1
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items for k in range(parts)]
+
+
+def items_of(part: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(item_id, words, words of the answer) of the items of a part that have words."""
     out = []
-    for row in sorted(rows):
+    for row in sorted(part.collect()):  # bounded by item_parts
         words, answer = word_stream([row["text"]])[0], word_stream([answer_of(row["text"])])[0]
         if len(words):
             out.append((row["item_id"], words, answer))
@@ -276,9 +287,9 @@ def keys_of(items) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return out
 
 
-def in_a_row(h: np.ndarray, first: np.ndarray, start: np.ndarray, keys) -> set[tuple[int, int]]:
-    """(passage, item) where an item's words stand in a row, with the passage of the block they begin in."""
-    out: set[tuple[int, int]] = set()
+def in_a_row(h: np.ndarray, first: np.ndarray, start: np.ndarray, keys, items: int) -> np.ndarray:
+    """passage * items + item where an item's words stand in a row, with the passage of the block they begin in."""
+    out = [np.zeros(0, np.int64)]
     for size, (bits, known, owner) in keys.items():
         g = grams(h, size)
         at = np.flatnonzero(bits[g >> np.uint64(44)])
@@ -289,7 +300,30 @@ def in_a_row(h: np.ndarray, first: np.ndarray, start: np.ndarray, keys) -> set[t
         count = high - low
         which = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
         block = np.repeat(np.searchsorted(start, at, "right") - 1, count)
-        out |= set(zip(block.tolist(), owner[which].tolist(), strict=True))
+        out.append(np.unique(block * items + owner[which]))
+    return np.unique(np.concatenate(out))
+
+
+def signatures(h: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """Level k holds, for each block, the bits of the words of 2 ** k blocks from it on."""
+    bits = np.zeros((len(start), SIGNATURE), bool)
+    block = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(h)]))
+    bits[block, (h >> np.uint32(5)) & np.uint32(SIGNATURE - 1)] = True
+    levels = [np.packbits(bits, axis=1).view(np.uint64)]
+    while 1 << len(levels) <= len(start):
+        last, step = levels[-1], 1 << (len(levels) - 1)
+        levels.append(last | np.vstack([last[step:], last[:step] * np.uint64(0)]))
+    return levels
+
+
+def enough(levels: list[np.ndarray], low: np.ndarray, high: np.ndarray, wanted: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether the blocks low..high (inclusive) have ``least`` at least of the bits wanted (one row each)."""
+    level = np.int64(np.log2(high - low + 1))
+    out = np.zeros(len(low), bool)
+    for k in np.unique(level).tolist():
+        at = np.flatnonzero(level == k)
+        have = (levels[k][low[at]] | levels[k][high[at] - (1 << k) + 1]) & wanted[at]
+        out[at] = np.bitwise_count(have).sum(1) >= least[at]
     return out
 
 
@@ -297,13 +331,19 @@ def search(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, overla
     """(doc_id, text), (item_id, text) -> doc_id, item_id, place, common, item_words, answer: one row for each document and item it holds."""
     shape = "doc_id long, item_id long, place long, common long, item_words long, answer boolean"
     spark = docs.sparkSession
-    items = items_of(benchmark)
-    if not items:
+    parts = [x for x in map(items_of, item_parts(benchmark)) if x]
+    if not parts:
         return spark.createDataFrame([], shape)
     owned = materialise(streams(docs), "passage-words")
     rows, _ = latent(owned)
+    found = [_search(owned, items, rows, cosine, overlap, paraphrase, shape) for items in parts]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search(owned: DataFrame, items: list, rows: np.ndarray, cosine: float, overlap: float, paraphrase: float, shape: str) -> DataFrame:
+    """One part of the items against all rows."""
     vectors, owner, asked = queries_of(items, rows, cosine)
-    shared = spark.sparkContext.broadcast((rows, vectors, owner, asked, items, keys_of(items)))
+    shared = owned.sparkSession.sparkContext.broadcast((rows, vectors, owner, asked, items, keys_of(items)))
 
     def check(words: np.ndarray, low: int, high: int, item):
         _, wanted, answer = item
@@ -329,37 +369,54 @@ def search(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, overla
         kinds = [set(words.tolist()) for _, words, _ in items]
         # an item's words that a common subsequence misses are at most this share, so the others must stand near
         least = [len(kind) - (1 - paraphrase) * len(words) if len(words) >= MIN_WORDS else len(kind) for kind, (_, words, _) in zip(kinds, items, strict=True)]
+        bits = np.zeros((len(items), SIGNATURE), bool)
+        for k, (_, words, _) in enumerate(items):
+            bits[k, (words >> np.uint32(5)) & np.uint32(SIGNATURE - 1)] = True
+        # each word that may be missing takes one bit at most
+        few = bits.sum(1) - np.array([len(kind) for kind in kinds]) + np.array(least)
+        marks = np.packbits(bits, axis=1).view(np.uint64)
+        reach = np.array([len(words) for _, words, _ in items])
         for frame in _small(frames):
             p, start, doc, h, first = _project(frame, rows)
             if not len(p):
                 continue
             p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
-            out: dict[tuple[int, int], tuple] = {}
-            listed = h.tolist()
-            exact = in_a_row(h, first, start, keys)
+            found = [in_a_row(h, first, start, keys, len(items))]
             for a in range(0, len(p), 4096):
-                near, which = np.nonzero(p[a : a + 4096] @ vectors.T >= asked)
-                alike = set(zip((near + a).tolist(), owner[which].tolist(), strict=True)) - exact
-                for passage, k in (*alike, *(exact if not a else ())):
-                    d, at, reach = int(doc[passage]), int(start[passage]), len(items[k][1])
-                    low, high = max(int(first[d]), at - reach), min(int(first[d + 1]), at + 2 * BLOCK + reach)
-                    if len(kinds[k].intersection(listed[low:high])) < least[k]:
-                        continue
-                    found = check(h, low, high, items[k])
-                    if found and ((d, k) not in out or (found, -at) > (out[d, k][1:], -out[d, k][0])):
-                        out[d, k] = (at, *found)
+                close, which = np.nonzero(p[a : a + 4096] @ vectors.T >= asked)
+                found.append((close + a) * len(items) + owner[which])
+            passage, item = np.divmod(np.unique(np.concatenate(found)), len(items))
+            if not len(passage):
+                continue
+            low = np.maximum(first[doc[passage]], start[passage] - reach[item])
+            high = np.minimum(first[doc[passage] + 1], start[passage] + 2 * BLOCK + reach[item])
+            block = np.searchsorted(start, low, "right") - 1, np.searchsorted(start, high, "left") - 1
+            good = enough(signatures(h, start), *block, marks[item], few[item])
+            out: dict[tuple[int, int], tuple] = {}
+            for i, k, x, y in zip(passage[good].tolist(), item[good].tolist(), low[good].tolist(), high[good].tolist(), strict=True):
+                d, at = int(doc[i]), int(start[i])
+                if len(kinds[k].intersection(h[x:y].tolist())) < least[k]:
+                    continue
+                best = check(h, x, y, items[k])
+                if best and ((d, k) not in out or (best, -at) > (out[d, k][1:], -out[d, k][0])):
+                    out[d, k] = (at, *best)
             if out:
-                ids = frame["doc_id"].to_list()
-                yield pd.DataFrame([(ids[d], items[k][0], x[0] - int(first[d]), x[1], len(items[k][1]), bool(x[2])) for (d, k), x in out.items()], columns=["doc_id", "item_id", "place", "common", "item_words", "answer"]).astype({"doc_id": "Int64"})
+                d, k = (np.array(x) for x in zip(*out, strict=True))
+                values = list(out.values())
+                yield pd.DataFrame({"name": frame["name"].to_numpy()[d], "item_id": [items[x][0] for x in k], "place": [x[0] for x in values] - first[d], "common": [x[1] for x in values], "item_words": reach[k], "answer": [bool(x[2]) for x in values]})
 
-    return owned.mapInPandas(run, shape)
+    # ids go round Python as text, so that large ones beside nulls keep their value
+    fields = shape.replace("doc_id long", "name string")
+    made = owned.select(F.col("doc_id").cast("string").alias("name"), "n", "words").mapInPandas(run, fields)
+    return made.select(F.col("name").cast("long").alias("doc_id"), *[c for c in made.columns if c != "name"])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns. Rows are matched by a hash of id and text."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = search(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, **options)
-    return keyed.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(docs.columns)
+    row = private(docs, "row")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    found = search(keyed.select(F.col(row).alias("doc_id"), "text"), benchmark, **options)
+    return keyed.join(found.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").select(docs.columns)
 
 
 def query(spark, sf_dir):
