@@ -110,19 +110,21 @@ def passages(block_rows: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return block_rows + nxt * more[:, None]
 
 
-def block_sums(table: np.ndarray, h: np.ndarray, start: np.ndarray, used: np.ndarray) -> np.ndarray:
-    """For each block the sum of its words' rows of ``table``; words of columns that aren't used weigh nothing."""
-    col = column(h)
-    keep = used[col]
-    begin = (np.cumsum(keep) - keep)[start]
-    col = col[keep]
-    full = np.diff(np.r_[begin, len(col)]) > 0
+def block_sums(table: np.ndarray, h: np.ndarray, first: np.ndarray, size: int = BLOCK) -> np.ndarray:
+    """For each block the sum of its words' rows of ``table``, whose last row is for no word."""
+    start, doc = blocks_of(first, size)
     out = np.zeros((len(start), table.shape[1]), table.dtype)
-    if full.any():
-        out[full] = np.add.reduceat(table[col], begin[full], axis=0)
+    col, end = np.r_[column(h), WIDTH], first[1:][doc]
+    for j in range(size):
+        out += table[col[np.where(start + j < end, start + j, len(h))]]
     return out
 
 
+def with_nothing(rows: np.ndarray) -> np.ndarray:
+    """``rows`` and one of zeros, as :func:`block_sums` takes them."""
+    return np.vstack([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
+
+
 def signs(names: np.ndarray, width: int) -> np.ndarray:
     """(len(names) x width) of 1 and -1, drawn from each name by itself."""
     lanes = [mix(names, 31 + k) for k in range(-(-width // 64))]
@@ -139,7 +141,7 @@ def sketch(owned: DataFrame, weights, width: int) -> np.ndarray:
 
     def run(frames):
         total = np.zeros((width, WIDTH))
-        for frame in _small(frames):
+        for frame in _small(frames, 10 * WORDS):
             h, first = _flat(frame)
             if not len(h):
                 continue
@@ -163,12 +165,12 @@ def sketch(owned: DataFrame, weights, width: int) -> np.ndarray:
 
 
 def _project(frame, rows: np.ndarray):
-    """Passage rows in the coordinates of ``rows`` (WIDTH x k), and starts and texts of their blocks."""
+    """Passage rows in the coordinates of ``rows`` (WIDTH x k, and a row of zeros), and starts and texts of their blocks."""
     h, first = _flat(frame)
     start, doc = blocks_of(first)
     if not len(start):
         return np.zeros((0, rows.shape[1]), np.float32), start, doc, h, first
-    return passages(block_sums(rows, h, start, rows.any(axis=1)), doc), start, doc, h, first
+    return passages(block_sums(rows, h, first), doc), start, doc, h, first
 
 
 def gram(owned: DataFrame, basis) -> np.ndarray:
@@ -176,9 +178,9 @@ def gram(owned: DataFrame, basis) -> np.ndarray:
     k = basis.value.shape[1]
 
     def run(frames):
-        total = np.zeros((k, k))
+        total, rows = np.zeros((k, k)), with_nothing(basis.value)
         for frame in _small(frames):
-            p = _project(frame, basis.value)[0].astype(np.float64)
+            p = _project(frame, rows)[0].astype(np.float64)
             total += p.T @ p
         yield pieces(total.ravel(), PIECE)
 
@@ -201,18 +203,23 @@ def latent(owned: DataFrame, rank: int = RANK, extra: int = EXTRA) -> tuple[np.n
     return (q * idf[:, None] @ vectors[:, top] / values * np.sqrt(max(n, 1))).astype(np.float32), values
 
 
-def lcs(a: np.ndarray, b: np.ndarray) -> int:
-    """Longest common subsequence, in bit-parallel form: one row of the table is one whole number."""
+def places_of(words) -> tuple[dict[int, int], int]:
+    """For each word the bits of its places, and the number of words."""
     places: dict[int, int] = {}
-    for i, x in enumerate(a.tolist()):
+    for i, x in enumerate(words):
         places[x] = places.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for y in b.tolist():
+    return places, len(words)
+
+
+def lcs(a, b) -> int:
+    """Longest common subsequence, in bit-parallel form: one row of the table is one whole number. ``a``: of :func:`places_of`."""
+    places, n = a
+    row = full = (1 << n) - 1
+    for y in b:
         hit = row & places.get(y, 0)
         if hit:
             row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return n - row.bit_count()
 
 
 def holds(words: np.ndarray, part: np.ndarray) -> bool:
@@ -345,28 +352,35 @@ def _search(owned: DataFrame, items: list, rows: np.ndarray, cosine: float, over
     vectors, owner, asked = queries_of(items, rows, cosine)
     shared = owned.sparkSession.sparkContext.broadcast((rows, vectors, owner, asked, items, keys_of(items)))
 
-    def check(words: np.ndarray, low: int, high: int, item):
-        _, wanted, answer = item
-        if len(wanted) < MIN_WORDS:
-            return (len(wanted), True) if holds(words[low:high], wanted) else None
+    def check(region: np.ndarray, wanted: np.ndarray, parts):
+        n = len(wanted)
+        if n < MIN_WORDS:
+            return (n, True) if holds(region, wanted) else None
         # the words of a window a little longer than the item, best of half-overlapping ones
-        region, best, answered = words[low:high], 0, False
-        size = max(len(wanted) * 3 // 2, 1)
+        words, answer = parts
+        at = [i for i, x in enumerate(region.tolist()) if x in words[0]]
+        known = region[at].tolist()
+        size = max(n * 3 // 2, 1)
+        best, answered, low, high = 0, False, 0, 0
         for i in range(0, max(len(region) - size, 0) + 1 + size // 3, max(size // 3, 1)):
-            part = region[i : i + size]
-            part = part[np.isin(part, wanted)]
-            if len(part) > best:
-                found = lcs(wanted, part)
+            while low < len(at) and at[low] < i:
+                low += 1
+            while high < len(at) and at[high] < i + size:
+                high += 1
+            if high - low > best:
+                found = lcs(words, known[low:high])
                 if found > best:
-                    best, answered = found, len(answer) > 0 and lcs(answer, part) >= 0.8 * len(answer)
-        share = best / len(wanted)
+                    best, answered = found, answer[1] > 0 and lcs(answer, region[i : i + size].tolist()) >= 0.8 * answer[1]
+        share = best / n
         return (best, answered) if share >= overlap or (share >= paraphrase and answered) else None
 
     def run(frames):
         import pandas as pd
 
         rows, vectors, owner, asked, items, keys = shared.value
+        rows = with_nothing(rows)
         kinds = [set(words.tolist()) for _, words, _ in items]
+        parts = [(places_of(words.tolist()), places_of(answer.tolist())) for _, words, answer in items]
         # an item's words that a common subsequence misses are at most this share, so the others must stand near
         least = [len(kind) - (1 - paraphrase) * len(words) if len(words) >= MIN_WORDS else len(kind) for kind, (_, words, _) in zip(kinds, items, strict=True)]
         bits = np.zeros((len(items), SIGNATURE), bool)
@@ -397,7 +411,7 @@ def _search(owned: DataFrame, items: list, rows: np.ndarray, cosine: float, over
                 d, at = int(doc[i]), int(start[i])
                 if len(kinds[k].intersection(h[x:y].tolist())) < least[k]:
                     continue
-                best = check(h, x, y, items[k])
+                best = check(h[x:y], items[k][1], parts[k])
                 if best and ((d, k) not in out or (best, -at) > (out[d, k][1:], -out[d, k][0])):
                     out[d, k] = (at, *best)
             if out:

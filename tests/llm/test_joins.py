@@ -138,7 +138,7 @@ def test_lcs():
     for _ in range(100):
         a, b = ([f"x{rng.randint(0, 6)}" for _ in range(rng.randint(1, 40))] for _ in range(2))
         wa, wb = (decontaminate.word_stream([" ".join(x)])[0] for x in (a, b))
-        assert decontaminate.lcs(wa, wb) == slow_lcs(a, b)
+        assert decontaminate.lcs(decontaminate.places_of(wa.tolist()), wb.tolist()) == slow_lcs(a, b)
 
 
 def test_decontamination(spark):
@@ -168,6 +168,37 @@ def test_decontamination(spark):
     assert decontaminate.search(frame, bench.limit(0)).count() == 0
 
 
+def test_block_sums_brute():
+    rng = np.random.default_rng(3)
+    h, first = rng.integers(0, 1 << 32, 200, dtype=np.uint32), np.array([0, 0, 1, 60, 108, 108, 200])
+    rows = rng.normal(size=(decontaminate.WIDTH, 3))
+    start, doc = decontaminate.blocks_of(first)
+    want = [rows[decontaminate.column(h[a : min(a + decontaminate.BLOCK, first[d + 1])])].sum(0) for a, d in zip(start, doc, strict=True)]
+    assert np.allclose(decontaminate.block_sums(decontaminate.with_nothing(rows), h, first), want)
+
+
+def test_signatures_lose_nothing():
+    """Whatever blocks are asked, their bits are those of their words."""
+    rng = np.random.default_rng(4)
+    h, first = rng.integers(0, 1 << 32, 400, dtype=np.uint32), np.array([0, 150, 400])
+    start, _ = decontaminate.blocks_of(first)
+    levels, end = decontaminate.signatures(h, start), np.r_[start[1:], len(h)]
+    for low in range(len(start)):
+        for high in range(low, len(start)):
+            bits = np.zeros(decontaminate.SIGNATURE, bool)
+            bits[(h[start[low] : end[high]] >> np.uint32(5)) & np.uint32(decontaminate.SIGNATURE - 1)] = True
+            wanted = np.packbits(bits).view(np.uint64)[None]
+            one = np.array([low]), np.array([high]), wanted
+            assert decontaminate.enough(levels, *one, np.array([bits.sum()]))[0] and not decontaminate.enough(levels, *one, np.array([bits.sum() + 1]))[0]
+
+
+def test_items_in_parts(spark):
+    bench = spark.createDataFrame([(i, f"item {i} has these few words of its own number {i * 7}") for i in range(40)] + [(90, None), (None, "x")], "item_id long, text string")
+    parts = decontaminate.item_parts(bench, rows=10)
+    assert len(parts) == 8 and sorted(i for p in parts for i, _, _ in decontaminate.items_of(p)) == list(range(40))
+    assert len(decontaminate.item_parts(bench)) == 1 and len(decontaminate.item_parts(bench, chars=500)) > 3
+
+
 def test_streams_keep_words():
     h, first = decontaminate.word_stream(["Ab, ab!", None, "c"])
     assert first.tolist() == [0, 2, 2, 3] and h[0] == h[1]
