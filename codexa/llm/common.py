@@ -98,8 +98,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     for value in (0, 1):
         part = keyed.where(F.col("label") == value).orderBy(order, "doc_id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").orderBy(order, "doc_id").select("text", "label").collect()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # an id may stand for several texts: no more than two for each on average
+    return texts.orderBy(order, "doc_id", F.xxhash64("text")).limit(4 * rows).select("text", "label").collect()
 
 
 def private(df: DataFrame, name: str) -> str:
@@ -123,10 +124,10 @@ def text_batches(batches: Iterator, column: str = "text", limit: int = 1_000_000
             yield batch.slice(a, b - a)
 
 
-def map_texts(df: DataFrame, keep: list[str], make: Callable, shape: str, text: str = "text") -> DataFrame:
-    """The columns ``keep`` as they are, plus those of ``shape`` computed from every whole text.
+def map_texts(df: DataFrame, keep: list[str], make: Callable, shape: str, text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """The columns ``keep`` as they are, plus those of ``shape`` computed from every whole text (and the columns ``also``).
 
-    ``make`` is called once in each task and gives the function from a list of texts to a list of columns. The kept
+    ``make`` is called once in each task and gives the function from lists of values to a list of columns. The kept
     columns stay in Arrow, so that large ids beside nulls keep their value.
     """
     fields = StructType.fromDDL(shape)
@@ -138,10 +139,10 @@ def map_texts(df: DataFrame, keep: list[str], make: Callable, shape: str, text:
         kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
         each = make()
         for part in text_batches(batches, text):
-            made = [pa.array(x, kinds[f.dataType.simpleString()]) for x, f in zip(each(part.column(text).to_pylist()), fields, strict=True)]
+            made = [pa.array(x, kinds[f.dataType.simpleString()]) for x, f in zip(each(*(part.column(c).to_pylist() for c in (text, *also))), fields, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, names=schema.names)
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, text, *also])).mapInArrow(run, schema)
 
 
 def chunks(frames: Iterator, column: str = "text", limit: int = 1_000_000) -> Iterator:

@@ -27,10 +27,10 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.common import materialise, table
+from codexa.llm.common import map_texts, materialise, table
 from codexa.llm.urls import host_of
 
-SALTS = 16
+SALTS, PAGES = 16, 2000
 TEXT, FIXED = "#", "="
 LEAST_PAGES = 3
 
@@ -326,17 +326,24 @@ def wrappers(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) -> page_id, url, text, n_chars."""
     hosted = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    joined = hosted.join(wrappers(hosted), "host", "left")
-
-    def run(frames):
-        for frame in frames:
-            found = []
-            for page, wrapper, fixed in zip(frame["html"], frame["wrapper"], frame["fixed"], strict=True):
-                symbols, texts, keys = keyed(page)
-                found.append("\n\n".join(texts[k] for k in chosen(wrapper, tuple(symbols), marked(symbols, keys, _fixed(fixed)))))
-            yield frame[["page_id", "url"]].assign(text=found, n_chars=[len(x) for x in found])
-
-    return joined.select("page_id", "url", "html", "wrapper", "fixed").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    found = materialise(wrappers(hosted), "page-wrappers")
+    # a host with more than a thousandth of all pages (there are no more than a thousand of them) is dealt into parts
+    counts = hosted.groupBy("host").agg(F.count(F.lit(1)).alias("c"))
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    limit = max(PAGES, total // 1000)
+    large = counts.where(F.col("c") > limit).select("host", (F.col("c") / limit).cast("int").alias("parts"))
+    dealt = hosted.join(F.broadcast(large), "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), 1 + F.coalesce("parts", F.lit(0))).cast("int")).drop("parts")
+    copies = found.join(F.broadcast(large), "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(0))))).drop("parts")
+    joined = dealt.join(copies, ["host", "part"], "left")
+
+    def each(pages, wrappers_, fixed_):
+        out = []
+        for page, wrapper, fixed in zip(pages, wrappers_, fixed_, strict=True):
+            symbols, texts, keys = keyed(page)
+            out.append("\n\n".join(texts[k] for k in chosen(wrapper, tuple(symbols), marked(symbols, keys, _fixed(fixed)))))
+        return [out, [len(x) for x in out]]
+
+    return map_texts(joined, ["page_id", "url"], lambda: each, "text string, n_chars long", "html", ("wrapper", "fixed"))
 
 
 def query(spark, sf_dir):

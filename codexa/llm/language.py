@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexa.llm.common import chunks, fold, gather, pieces, table
+from codexa.llm.common import chunks, fold, gather, map_texts, pieces, table
 from codexa.llm.ftrl import Ftrl, join_rows, rows_of
 
 WIDTH, MODULUS, HELD_OUT, ROWS = 1 << 15, 3, 1, 800
@@ -111,9 +111,12 @@ def train(docs: DataFrame, rows: int = ROWS, epochs: int = 4, batch: int = 32, s
     if not n:
         return None
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 0.05
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("doc_id", "lang").withColumn("nth", nth).where(F.col("nth") <= rows)
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").orderBy(F.xxhash64("doc_id"), "lang").select("text", "lang").collect()
+    # each language's texts of the smallest hashes: a threshold keeps about twice as many first, so that none gathers in one task
+    sizes = F.broadcast(known.groupBy("lang").agg(F.count(F.lit(1)).alias("of")))
+    order = F.xxhash64("doc_id")
+    some = known.select("doc_id", "lang", "text").join(sizes, "lang").where(F.pmod(order, F.lit(1 << 30)) * F.col("of") <= F.lit(float((1 << 30) * (2 * rows + 100))))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(order, F.lit(1 << 30)), "doc_id", F.xxhash64("text")))
+    sample = some.withColumn("nth", nth).where(F.col("nth") <= rows).orderBy(order, "doc_id", "lang", F.xxhash64("text")).select("text", "lang").collect()
     languages = sorted({r["lang"] for r in sample})
     label = np.array([languages.index(r["lang"]) for r in sample])
     index, value, first = join_rows([sparse([r["text"] for r in sample[k : k + 200]], idf) for k in range(0, len(sample), 200)])
@@ -143,18 +146,17 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, text) -> doc_id, lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH numbers for each language
 
-    def run(frames):
+    def each(texts):
         model = shared.value
-        for part in chunks(frames):
-            lettered = np.array([isinstance(x, str) and any(map(str.isalpha, x)) for x in part["text"]], bool)
-            name, score = np.full(len(part), UNKNOWN, object), np.zeros(len(part))
-            if model is not None and lettered.any():
-                p = model.probabilities(model.margins(part["text"][lettered]))
-                best = p.argmax(1)
-                name[lettered], score[lettered] = np.array(model.languages, object)[best], p[np.arange(len(p)), best]
-            yield part[["doc_id"]].assign(lang_pred=name, score=score)
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+        lettered = np.array([isinstance(x, str) and any(map(str.isalpha, x)) for x in texts], bool)
+        name, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        if model is not None and lettered.any():
+            p = model.probabilities(model.margins([x for x, good in zip(texts, lettered, strict=True) if good]))
+            best = p.argmax(1)
+            name[lettered], score[lettered] = np.array(model.languages, object)[best], p[np.arange(len(p)), best]
+        return [name, score]
+
+    return map_texts(docs, ["doc_id"], lambda: each, "lang_pred string, score double")
 
 
 def classify(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexa.llm.common import materialise
+from codexa.llm.common import materialise, private
 
 LEVELS, BITS = 5, 12
 WORD = r"[^\x20\x09-\x0D]+"
@@ -89,13 +89,15 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, with all their columns, plus how often (copies), size, target and taken words."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    plan = mix(keyed.select(F.col("_row").alias("doc_id"), "source", "text"), **options).where("copies > 0")
+    own = ["size", "source_size", "target", "copies", "taken"]  # columns of these names give way to the mix's
+    row, source = private(docs, "mix_row"), private(docs, "mix_source")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    plan = mix(keyed.select(F.col(row).alias("doc_id"), "source", "text"), **options).where("copies > 0")
     # equal rows have equal hashes and so the same plan
-    plan = plan.select(F.col("doc_id").alias("_row"), F.col("source").alias("_source"), "size", "source_size", "target", "copies", "taken").distinct()
-    base = keyed.drop("size", "source_size", "target", "copies", "taken")  # columns of these names give way to the mix's
-    same = (base["_row"] == plan["_row"]) & base["source"].eqNullSafe(plan["_source"])
-    return base.join(plan, same).drop(base["_row"], plan["_row"], plan["_source"])
+    plan = plan.select(F.col("doc_id").alias(row), F.col("source").alias(source), *own).distinct()
+    base = keyed.drop(*own)
+    same = (base[row] == plan[row]) & base["source"].eqNullSafe(plan[source])
+    return base.join(plan, same).drop(base[row], plan[row], plan[source])
 
 
 ORACLE = r"""

@@ -20,6 +20,8 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 
+from codexa.llm.common import map_texts, table
+
 # Fixed values of the container format (RFC 3533).
 CAPTURE, CONTINUED, FIRST, LAST = b"OggS", 1, 2, 4
 HEADER = "<4sBBqIIIB"
@@ -134,12 +136,15 @@ def decode(media: bytes) -> tuple[dict[int, Stream], int]:
 
 
 def samples(streams: dict[int, Stream]) -> tuple[bytes, int, list[float]]:
-    """Of the ``pcm8`` stream: its samples, their rate, and the time in seconds at which each page's last packet ends."""
+    """Of the ``pcm8`` stream: its samples, their rate, and the time in seconds at which each page's last packet ends.
+
+    Without that stream, as when its first page is damaged: no samples.
+    """
     for s in streams.values():
         if s.packets and s.packets[0][:4] == b"PCM8":
             rate = struct.unpack("<4sHHIQ", s.packets[0])[3]
             return b"".join(s.packets[1:]), rate, [g / rate for g in s.granules[1:] if g >= 0]
-    raise ValueError("no pcm8 stream")
+    return b"", 0, []
 
 
 def payload_of(text) -> tuple[bytes, int]:
@@ -148,7 +153,9 @@ def payload_of(text) -> tuple[bytes, int]:
     return raw + bytes(-len(raw) % 64 or (0 if raw else 64)), len(raw)
 
 
-def describe(payload: bytes, streams: dict[int, Stream], rate: int, times: list[float], bad: int) -> str:
+def describe(payload: bytes, streams: dict[int, Stream], times: list[float], bad: int) -> str:
+    if not payload:
+        return f"streams={len(streams)};bad={bad};no samples"
     x = np.frombuffer(payload, np.uint8).astype(np.float64)
     centred = x - x.mean()
     crossings = int(np.count_nonzero(np.diff(centred >= 0)))
@@ -158,40 +165,34 @@ def describe(payload: bytes, streams: dict[int, Stream], rate: int, times: list[
     )
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SHAPE = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def store(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, n_bytes, media binary: the documents as media columns."""
 
-    def run(frames):
-        for frame in frames:
-            made = [payload_of(x) for x in frame["text"]]
-            yield frame[["doc_id"]].assign(n_bytes=[n for _, n in made], media=[encode(p) for p, _ in made])
+    def each(texts):
+        made = [payload_of(x) for x in texts]
+        return [[n for _, n in made], [encode(p) for p, _ in made]]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return map_texts(docs, ["doc_id"], lambda: each, "n_bytes long, media binary")
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) -> the digest of what the stored bytes hold."""
+    """(doc_id, n_bytes, media) -> the digest of what the stored bytes hold; a medium that can't be read has an empty payload."""
 
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for doc_id, n, stored in zip(frame["doc_id"], frame["n_bytes"], frame["media"], strict=True):
-                streams, bad = decode(stored)
-                payload, rate, times = samples(streams)
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), describe(payload, streams, rate, times, bad)))
-            out = frame[["doc_id"]].copy()
-            for k, name in enumerate(("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")):
-                out[name] = [r[k] for r in rows]
-            yield out
+    def each(stored):
+        rows = []
+        for medium in stored:
+            medium = medium or b""
+            streams, bad = decode(medium)
+            payload, rate, times = samples(streams)
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(medium), hashlib.sha256(medium).hexdigest(), describe(payload, streams, times, bad)))
+        return list(zip(*rows, strict=True))
 
-    return media.mapInPandas(run, SCHEMA)
+    return map_texts(media, ["doc_id", "n_bytes"], lambda: each, SHAPE, "media")
 
 
 def query(spark, sf_dir):
     """op2: every document as an Ogg media column, and its digest read back from the stored bytes."""
-    from codexa.llm.common import table
-
     return digest(store(table(spark, sf_dir, "documents")))

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.common import chunks, fold, labelled_sample, table
+from codexa.llm.common import fold, labelled_sample, map_texts, private, table
 from codexa.llm.words import scan
 
 HASHED, RANK, MODULUS, HELD_OUT, ROWS = 1 << 15, 8, 3, 1, 3000
@@ -128,37 +128,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     return Machine().fit(index, value, first, [r["label"] for r in sample])
 
 
-def score(docs: DataFrame, model: Machine, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus score (double, 0 to 1)."""
+def score(docs: DataFrame, model: Machine, kept: list[str], name: str = "score", text: str = "text") -> DataFrame:
+    """The columns ``kept`` plus a score (double, 0 to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: WIDTH x (RANK + 1) numbers
 
-    def run(frames):
-        for part in chunks(frames, text):
-            margin = np.clip(shared.value.margin(*features(part[text])).astype(np.float64), -30, 30)
-            yield part.assign(score=1 / (1 + np.exp(-margin))).drop(columns=[text])
+    def each(texts):
+        margin = np.clip(shared.value.margin(*features(texts)).astype(np.float64), -30, 30)
+        return [1 / (1 + np.exp(-margin))]
 
-    kept = [c for c in docs.columns if c != text]
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    schema = StructType([docs.schema[c] for c in kept] + [StructField("score", DoubleType())])
-    return docs.select(*kept, text).mapInPandas(run, schema)
+    return map_texts(docs, kept, lambda: each, f"`{name}` double", text)
 
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score at least ``threshold``, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-
-    def run(frames):
-        for part in chunks(frames):
-            margin = np.clip(shared.value.margin(*features(part["text"])).astype(np.float64), -30, 30)
-            yield part[1 / (1 + np.exp(-margin)) >= threshold]
-
-    return docs.mapInPandas(run, docs.schema)
+    name = private(docs, "score")
+    return score(docs, train(docs, labels), docs.columns, name).where(F.col(name) >= threshold).select(docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, score, predicted."""
-    scored = score(docs.select("doc_id", "text"), train(docs, labels))
+    scored = score(docs, train(docs, labels), ["doc_id"])
     return scored.select("doc_id", F.coalesce(fold("doc_id", MODULUS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.common import chunks, delete, materialise, table, tidy
+from codexa.llm.common import chunks, delete, map_texts, materialise, private, table, tidy
 from codexa.llm.words import mix, prefix_sums, span_hash
 
 LENGTH, GRAM, PERIOD = 200, 48, 64
@@ -331,17 +331,16 @@ def merged(spans: DataFrame) -> DataFrame:
     return spans.groupBy("row").agg(joined.alias("spans"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """Rows are told apart by a hash of id and text: ids may repeat or be null, and equal rows lose the same bytes."""
-    return docs.withColumn("row", F.xxhash64("doc_id", "text"))
+def marked(docs: DataFrame, length: int = LENGTH, **options) -> tuple[DataFrame, str]:
+    """All columns of ``docs`` and one of spans (null where nothing is to be removed), and that column's name.
 
-
-def marked(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
-    """All columns of ``docs`` plus row and ``spans`` (null where nothing is to be removed)."""
-    rows = numbered(docs)
-    spans = materialise(merged(repeats(rows, length, **options)), "suffix-spans")
+    Rows are told apart by a hash of id and text: ids may repeat or be null, and equal rows lose the same bytes.
+    """
+    row, name = private(docs, "row"), private(docs, "spans")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    spans = materialise(merged(repeats(keyed.select(F.col(row).alias("row"), "text"), length, **options)), "suffix-spans")
     tidy(docs.sparkSession)
-    return rows.join(spans, "row", "left")
+    return keyed.join(spans.select(F.col("row").alias(row), F.col("spans").alias(name)), row, "left").drop(row), name
 
 
 def kept_bytes(data: bytes, spans) -> bytes:
@@ -358,29 +357,26 @@ def kept_bytes(data: bytes, spans) -> bytes:
 def removed(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
-    def digest(frames):
-        for frame in frames:
-            rows = []
-            for text, spans in zip(frame["text"], frame["spans"], strict=True):
-                data = utf8(text)
-                rest = kept_bytes(data, spans)
-                rows.append((len(data), len(data) - len(rest), 0 if spans is None else len(spans), hashlib.sha256(rest).hexdigest()))
-            yield frame[["doc_id"]].assign(**{name: [r[k] for r in rows] for k, name in enumerate(("n_bytes", "n_removed", "n_spans", "kept_sha256"))})
+    def each(texts, spans):
+        rows = []
+        for text, found in zip(texts, spans, strict=True):
+            data = utf8(text)
+            rest = kept_bytes(data, found)
+            rows.append((len(data), len(data) - len(rest), 0 if found is None else len(found), hashlib.sha256(rest).hexdigest()))
+        return list(zip(*rows, strict=True))
 
-    found = marked(docs.select("doc_id", "text"), length, **options)
-    return found.select("doc_id", "text", "spans").mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found, spans = marked(docs.select("doc_id", "text"), length, **options)
+    return map_texts(found, ["doc_id"], lambda: each, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", also=(spans,))
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """All columns of ``docs``, repeats taken out of ``text``; a character cut by a repeat's edge goes with it."""
-    from pyspark.sql.types import StringType, StructField, StructType
 
-    def apply(frames):
-        for frame in frames:
-            yield frame.assign(text=[kept_bytes(utf8(t), s).decode("utf-8", "ignore") if s is not None else t for t, s in zip(frame["text"], frame["spans"], strict=True)]).drop(columns=["spans", "row"])
+    def each(texts, spans):
+        return [[kept_bytes(utf8(t), s).decode("utf-8", "ignore") if s is not None else t for t, s in zip(texts, spans, strict=True)]]
 
-    schema = StructType([f if f.name != "text" else StructField("text", StringType()) for f in docs.schema])
-    return marked(docs, length, **options).select(*docs.columns, "row", "spans").mapInPandas(apply, schema)
+    found, spans = marked(docs, length, **options)
+    return map_texts(found, [c for c in docs.columns if c != "text"], lambda: each, "text string", also=(spans,)).select(docs.columns)
 
 
 def query(spark, sf_dir):

@@ -17,9 +17,8 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from codexa.llm.common import chunks, fold, labelled_sample, table
+from codexa.llm.common import fold, labelled_sample, map_texts, private, table
 from codexa.llm.ftrl import Ftrl, join_rows, rows_of
 from codexa.llm.words import prefix_sums, scan, span_hash
 
@@ -139,17 +138,20 @@ def score(docs: DataFrame, model: Ftrl, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((used, model.w[used, 0], float(model.bias[0])))  # at most WIDTH weights
     kept = [c for c in docs.columns if c != text]
 
-    def run(frames):
+    def make():
         used, weights, bias = shared.value
         dense = np.zeros(WIDTH)
         dense[used] = weights
-        for part in chunks(frames, text):
-            index, _, first = features(part[text])
+
+        def each(texts):
+            index, _, first = features(texts)
             sums = np.r_[0, np.cumsum(dense[index])]
             margin = np.clip(bias + sums[first[1:]] - sums[first[:-1]], -30, 30)
-            yield part[kept].assign(score=1 / (1 + np.exp(-margin)))
+            return [1 / (1 + np.exp(-margin))]
+
+        return each
 
-    return docs.select(*kept, text).mapInPandas(run, StructType([docs.schema[c] for c in kept] + [StructField("score", DoubleType())]))
+    return map_texts(docs, kept, make, f"{private(docs.select(*kept), 'score')} double", text)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
