@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="codexa-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -48,16 +50,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._codexa_path = path
+    return out
 
 
 def delete(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table that :func:`materialise` wrote, once nothing reads it any more."""
-    for file in df.inputFiles()[:1]:
-        path = file.rsplit("/", 1)[0]
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    path = getattr(df, "_codexa_path", None)
+    if path is None:
+        raise ValueError("not a table of materialise")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _written:
+        _written.remove(path)
 
 
 def release(spark: SparkSession) -> None:
@@ -69,11 +75,11 @@ def release(spark: SparkSession) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Ask the driver for a collection, so that shuffle files of finished phases leave the executors' disks."""
+    """Ask the driver for a collection, so that what finished phases shuffled and broadcast leaves the executors and the driver."""
     for _ in range(2):  # the first round frees Python's handles, the second what they held
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+        time.sleep(0.5)
 
 
 def fold(doc_id: str | Column, modulus: int) -> Column:

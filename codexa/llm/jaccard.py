@@ -256,7 +256,9 @@ def fetched(owned: DataFrame, pairs: DataFrame, shared, percent: int) -> DataFra
                 yield pd.DataFrame({"class": part["class"], "p1": p1, "p2": p2, "tokens": part["tokens"]})
 
     rows = owned.where("tokens is not null").select("class", F.pmod(F.xxhash64("class"), F.lit(1 << NAMED)).alias("at"), "tokens")
-    return materialise(rows.mapInPandas(run, shape).dropDuplicates(["class"]), "jaccard-sets")
+    out = materialise(rows.mapInPandas(run, shape).dropDuplicates(["class"]), "jaccard-sets")
+    bits.unpersist()
+    return out
 
 
 def links(pairs: DataFrame, owned: DataFrame, shared, percent: int) -> DataFrame:
@@ -266,6 +268,7 @@ def links(pairs: DataFrame, owned: DataFrame, shared, percent: int) -> DataFrame
     """
     spark = owned.sparkSession
     sets_ = fetched(owned, pairs, shared, percent)
+    tidy(spark)
 
     def run(frames):
         for frame in frames:
@@ -353,6 +356,7 @@ def grouped(owned: DataFrame, shared, percent: int) -> DataFrame:
             break
     # what is left: pairs of different components in one list, at the tokens that leave it open whether they link
     found.append(links(alike(apart(now, percent).distinct(), signs, percent), owned, shared, percent))
+    tidy(spark)
     comps = connected_components(reduce(DataFrame.unionByName, found).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     comps = materialise(comps.select(F.col("node").alias("class"), F.col("component").alias("comp")), "jaccard-comps")
     for done in (now, signs, labels, *found):
@@ -425,6 +429,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     known = names.where("linked or copies > 1").join(lowest, "comp").select("class", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_shingles"), F.lit(SALTS)).cast("int")).join(known, ["class", "salt"], "left")
     out = materialise(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "jaccard-out")
+    shared.unpersist()
     delete(spark, owned)
     delete(spark, comps)
     return out
