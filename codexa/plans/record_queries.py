@@ -88,7 +88,7 @@ SQL = {
       count(*) AS n, count(DISTINCT left(tok, 4)) AS n_prefixes FROM s GROUP BY 1, 2, 3, 4""",
     "iso_dates": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM orders",
     "best_date": "SELECT o_custkey, arg_min(CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END, (year(o_orderdate), CASE WHEN o_orderkey % 4 = 0 THEN 99 ELSE month(o_orderdate) END, CASE WHEN o_orderkey % 4 < 2 THEN 99 ELSE day(o_orderdate) END)) AS best FROM orders GROUP BY o_custkey",
-    "crossref_works": "SELECT '10.1/a' || o_orderkey AS doi, 'T ' || o_orderkey AS title, 'F' || o_orderkey AS surname, o_orderkey::VARCHAR AS first_page, year(o_orderdate) AS year FROM orders WHERE o_orderkey % 5 = 0",
+    "crossref_works": "SELECT '10.1/a' || o_orderkey AS doi, 'T ' || o_orderkey AS title, 'F' || o_orderkey AS surname, o_orderkey::VARCHAR AS first_page, year(o_orderdate) AS year FROM orders",
     "openurl_emit": "SELECT p_partkey, 'title=' || replace(replace(url_encode(p_name), '%20', '+'), '#', '%23') || CASE WHEN p_size > 25 THEN '&volume=' || p_size ELSE '' END AS url FROM part",
     "section_numbers": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN (p_partkey % 9 + 1) || '.' || (p_partkey % 5 + 1) WHEN 1 THEN 'IV' ELSE '' END AS number, p_name AS title FROM part",
     "coordinate_strings": "SELECT l_orderkey, arg_max(c || ';' || c, (l_quantity, l_discount, l_tax)) AS coords FROM (SELECT *, printf('1,%.2f,%.2f,%.2f,1.50', l_quantity, l_discount, l_tax) AS c FROM lineitem) GROUP BY l_orderkey",

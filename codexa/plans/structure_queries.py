@@ -54,6 +54,7 @@ def _boxes(spark, sf_dir, *more):
 
 
 _BOXES = "SELECT l_orderkey % 500 AS doc_id, (l_linenumber % 4 + 1)::BIGINT AS page, l_partkey AS block, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS ord, (l_suppkey % 50 * 10)::DOUBLE AS x, floor(l_quantity)::DOUBLE AS y, (l_partkey % 30 + 5)::DOUBLE AS w, (l_partkey % 20 + 10)::DOUBLE AS h FROM lineitem"
+_ROLES = _BOXES.replace(" FROM lineitem", ", coalesce(l_linestatus = 'O', false) AS role FROM lineitem")
 
 
 def box_union(spark, sf_dir):
@@ -273,15 +274,15 @@ SQL = {
       y AS (SELECT doc_id, min(floor(y))::BIGINT AS y1, max(floor(y + h))::BIGINT AS y2 FROM f GROUP BY doc_id)
       SELECT f.doc_id, page % 2 AS parity, min(floor(x))::BIGINT AS x1, max(floor(x + w))::BIGINT AS x2, any_value(y1) AS y1, any_value(y2) AS y2 FROM f JOIN y ON y.doc_id = f.doc_id GROUP BY f.doc_id, page % 2""",
     "block_spacing": f"WITH b AS (SELECT doc_id, page, block, min(y) AS y, max(h) AS h FROM ({_BOXES}) GROUP BY ALL), s AS (SELECT *, y - lag(y + h) OVER (PARTITION BY doc_id, page ORDER BY block) AS sp FROM b) SELECT doc_id, page, count(sp) AS n, min(sp) AS least, max(sp) AS most FROM s GROUP BY doc_id, page",
-    "connected_boxes": f"WITH b AS ({_BOXES}) SELECT a.doc_id, a.page, a.ord AS a, b.ord AS b, (a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h) AS overlap FROM b AS a JOIN b AS b ON a.doc_id = b.doc_id AND a.page = b.page WHERE a.block % 40 = 1 AND b.block % 40 = 2 AND least(abs(b.y - a.y - a.h), abs(a.y - b.y - b.h)) < 100",
-    "nearest_graphic": f"WITH b AS ({_BOXES}), p AS (SELECT a.doc_id, a.page, a.ord AS caption, b.ord AS graphic, abs(a.x - b.x) + abs(a.y - b.y) AS distance FROM b AS a JOIN b AS b ON a.doc_id = b.doc_id AND a.page = b.page WHERE a.block % 40 = 1 AND b.block % 40 = 2) SELECT * FROM p WHERE distance <= 300 QUALIFY row_number() OVER (PARTITION BY doc_id, page, caption ORDER BY distance, graphic) = 1",
+    "connected_boxes": f"WITH b AS ({_ROLES}) SELECT a.doc_id, a.page, a.ord AS a, b.ord AS b, (a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h) AS overlap FROM b AS a JOIN b AS b ON a.doc_id = b.doc_id AND a.page = b.page WHERE a.role AND NOT b.role AND least(abs(b.y - a.y - a.h), abs(a.y - b.y - b.h)) < 100",
+    "nearest_graphic": f"WITH b AS ({_ROLES}), p AS (SELECT a.doc_id, a.page, a.ord AS caption, b.ord AS graphic, abs(a.x - b.x) + abs(a.y - b.y) AS distance FROM b AS a JOIN b AS b ON a.doc_id = b.doc_id AND a.page = b.page WHERE a.role AND NOT b.role) SELECT * FROM p WHERE distance <= 300 QUALIFY row_number() OVER (PARTITION BY doc_id, page, caption ORDER BY distance, graphic) = 1",
     "marker_majority": "SELECT doc_id, kind, n FROM (SELECT l_orderkey % 300 AS doc_id, l_returnflag AS kind, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, kind) = 1",
     "gazetteer_match": f"""WITH t AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place, lower(tok) AS tok FROM ({D}) WHERE {SOLID}),
       b AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '{TOKEN_SQL}'), lambda x: trim(x) <> '') AS w FROM benchmark),
       terms AS (SELECT item_id * 10 + 1 AS term_id, w[1:2] AS words FROM b UNION ALL SELECT item_id * 10 + 2, w[3:5] FROM b),
       g AS (SELECT doc_id, place, tok, lead(tok, 1) OVER o AS t2, lead(tok, 2) OVER o AS t3 FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY place))
       SELECT term_id, count(*) AS n, count(DISTINCT doc_id) AS n_docs, sum(place)::BIGINT AS first_sum, sum(place + len(words) - 1)::BIGINT AS last_sum FROM g JOIN terms ON words[1] = tok AND (len(words) < 2 OR words[2] = t2) AND (len(words) < 3 OR words[3] = t3) GROUP BY term_id""",
-    "inverted_index_topk": f"""WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents), q AS (SELECT item_id AS query_id, ({_TERMS})[1:12] AS terms FROM benchmark),
+    "inverted_index_topk": f"""WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents), q AS (SELECT item_id AS query_id, ({_TERMS}) AS terms FROM benchmark),
       p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
       a AS (SELECT query_id, len(terms) AS n_terms, unnest(terms) AS term FROM q),
       s AS (SELECT query_id, doc_id, n_terms, count(*) AS matched, sum(tf * ln(1 + (SELECT count(*) FROM d)::DOUBLE / (1 + df))) AS score FROM a JOIN p USING (term) JOIN f USING (term) GROUP BY ALL)
@@ -290,7 +291,7 @@ SQL = {
     "consolidate_join": "SELECT c_custkey, CASE WHEN ok THEN n_name END AS place, CASE WHEN ok AND n_regionkey = 1 THEN 'CHECKED' ELSE c_mktsegment END AS segment, ok AS consolidated FROM (SELECT *, n_nationkey IS NOT NULL AND c_nationkey % 4 <> 3 AS ok FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)",
     "token_jaccard": f"""WITH d AS (SELECT doc_id, list_distinct({_TERMS}) AS t FROM documents), b AS (SELECT item_id, list_distinct({_TERMS}) AS t FROM benchmark),
       c AS (SELECT doc_id, item_id, count(*) AS c FROM (SELECT doc_id, unnest(t) AS x FROM d) JOIN (SELECT item_id, unnest(t) AS x FROM b) USING (x) GROUP BY ALL)
-      SELECT doc_id, item_id, round(c / (len(d.t) + len(b.t) - c), 6) AS jaccard FROM c JOIN d USING (doc_id) JOIN b USING (item_id) WHERE c >= 10""",
+      SELECT doc_id, item_id, round(c / (len(d.t) + len(b.t) - c), 6) AS jaccard FROM c JOIN d USING (doc_id) JOIN b USING (item_id)""",
     "ratcliff_names": None,
     "author_email_assign": None,
     "crf_viterbi_synth": None,

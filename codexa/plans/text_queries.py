@@ -215,7 +215,7 @@ SQL = {
     "sentence_split": rf"SELECT doc_id, len(s)::BIGINT AS n_sentences, md5(array_to_string([CASE WHEN regexp_matches(x, '[.?!]\s+$') THEN rtrim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) ELSE x END FOR x IN s], chr(1))) AS digest FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{T.SENTENCE}') AS s FROM documents)",
     "identifier_extract": rf"SELECT o_orderkey, regexp_extract(line, '{I.DOI}') AS doi, regexp_extract(line, '{I.EMAIL}') AS email, regexp_extract(line, '{I.URL}') AS url, regexp_extract(line, '{I.PMID}', 1) AS pmid, '10.1234/AB' || o_orderkey AS clean_doi FROM (SELECT o_orderkey, 'see doi:10.1234/ab' || o_orderkey || '., or mail a.b' || o_orderkey || '@lab.example.org; https://x.example.org/p?q=' || o_orderkey || ', PMID: ' || o_orderkey AS line FROM orders)",
     "clean_field": rf"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents),
-      a AS (SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(replace(replace(', (' || substr(line, 1, 60) || ')., -', ',,', ','), ', ,', ','), '[, .\-_/:]+$', ''), '^[, .;\-_:]+', '')) AS t FROM l),
+      a AS (SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(replace(replace(', (' || line || ')., -', ',,', ','), ', ,', ','), '[, .\-_/:]+$', ''), '^[, .;\-_:]+', '')) AS t FROM l),
       b AS (SELECT doc_id, line_no, CASE WHEN starts_with(t, '(') AND ends_with(t, ')') THEN trim(substr(t, 2, length(t) - 2)) ELSE t END AS t FROM a)
       SELECT doc_id, line_no, md5(trim(regexp_replace(t, '( (the|of|and|du|de le|de la|des|der|an|und|for))+$', ''))) AS digest FROM b""",
     "date_normalise": "SELECT o_orderkey, day(o_orderdate) AS day, month(o_orderdate) AS month, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN year(o_orderdate) % 100 >= 20 THEN 1900 + year(o_orderdate) % 100 ELSE 2000 + year(o_orderdate) % 100 END ELSE year(o_orderdate) END AS year FROM orders",
