@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codexa.plans import record_queries, structure_queries, text_queries
+from codexa.plans import cleaning_queries, record_queries, structure_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (text_queries, structure_queries, record_queries)
+_PARTS = (text_queries, structure_queries, record_queries, cleaning_queries)
 
 
 def queries() -> dict[str, Query]:
