@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 _written: list[str] = []
 
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 4_000_000
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -117,7 +117,7 @@ def private(df: DataFrame, name: str) -> str:
     return name
 
 
-def text_batches(batches: Iterator, column: str = "text", limit: int = 1_000_000) -> Iterator:
+def text_batches(batches: Iterator, column: str = "text", limit: int = 250_000) -> Iterator:
     """Cut Arrow batches into runs of at most ``limit`` bytes of text (one row at least), to bound memory."""
     import pyarrow.compute as pc
 

@@ -109,7 +109,7 @@ def token_counts(owned: DataFrame) -> np.ndarray:
             for data in frame["tokens"]:
                 held.append(unpack(data))
                 size += len(held[-1])
-                if size > 1_000_000:
+                if size > 250_000:
                     total += np.bincount((np.concatenate(held) & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH).astype(np.int32)
                     held, size = [], 0
             if held:
