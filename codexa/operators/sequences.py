@@ -25,8 +25,12 @@ def clusters(rows: DataFrame, keys: Sequence[str], order: Sequence[str], label:
 
 
 def coalesced(intervals: DataFrame, keys: Sequence[str], start: str, stop: str) -> DataFrame:
-    """Overlapping or touching intervals of a key as one."""
-    w = Window.partitionBy(*keys).orderBy(start, stop)
+    """Overlapping or touching intervals of a key as one.
+
+    Intervals without a stop come after those of their start, and join them; each one without a start stands alone. Equal
+    intervals tie in the order; both windows see them in the one order of a single sort, so the result is the same whichever it is.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(stop))
     reach = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = intervals.withColumn("_new", F.coalesce(F.col(start) > reach, F.lit(True)).cast("int"))
     marked = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
