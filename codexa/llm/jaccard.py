@@ -28,7 +28,7 @@ from functools import reduce
 from operator import add
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexa.llm.common import delete, gather, map_texts, materialise, pieces, private, table, tidy
@@ -67,7 +67,7 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, text) -> doc_id, n, class, tokens, wide, s0...: the shingle set of every whole text and a hash of the set.
+    """(doc_id, text) -> doc_id, n, class, tokens, s0...: the shingle set of every whole text and a hash of the set.
 
     The tokens of copies that one task meets are held once.
     """
@@ -90,13 +90,12 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
                 fresh.append(x not in seen)
                 seen.add(x)
             tokens = [pack(x) if new and len(x) else None for x, new in zip(found, fresh, strict=True)]
-            wide = [parity(x) for x in found]
-            narrow = np.array([folded(x, 8 * SIGNS) for x in wide], np.uint8).reshape(-1, 8 * SIGNS).view(np.int64)
-            return [n, name, tokens, [x.tobytes() if t else None for x, t in zip(wide, tokens, strict=True)], *narrow.T]
+            narrow = np.array([folded(parity(x), 8 * SIGNS) for x in found], np.uint8).reshape(-1, 8 * SIGNS).view(np.int64)
+            return [n, name, tokens, *narrow.T]
 
         return each
 
-    return map_texts(docs.select("doc_id", "text"), ["doc_id"], make, "n long, class long, tokens binary, wide binary, " + ", ".join(f"{s} long" for s in _SIGNS))
+    return map_texts(docs.select("doc_id", "text"), ["doc_id"], make, "n long, class long, tokens binary, " + ", ".join(f"{s} long" for s in _SIGNS))
 
 
 def token_counts(owned: DataFrame) -> np.ndarray:
@@ -208,8 +207,8 @@ def near(x: str, y: str, percent: int):
     return (n - differ) * (100 + percent) >= n * (2 * percent)
 
 
-def alike(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """(a, b) -> a table of the pairs that all their parity bits leave open."""
+def alike(percent: int):
+    """Rows (a, b, n, m, x, y) -> the pairs (a, b) of sets of sizes n and m that all their parity bits x and y leave open."""
 
     def run(frames):
         for frame in frames:
@@ -221,9 +220,7 @@ def alike(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
                 good.append((n + m - differ) * (100 + percent) >= 2 * percent * (n + m))
             yield frame.loc[np.array(good, bool), ["a", "b"]]
 
-    side = lambda at, size, wide: signs.select(F.col("class").alias(at), F.col("n").alias(size), F.col("wide").alias(wide))
-    met = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
-    return materialise(met.mapInPandas(run, "a long, b long"), "jaccard-pairs")
+    return run
 
 
 def named(classes: DataFrame) -> np.ndarray:
@@ -237,11 +234,12 @@ def named(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def fetched(owned: DataFrame, pairs: DataFrame, shared, percent: int) -> DataFrame:
-    """(class, p1, p2, tokens) of the classes in ``pairs``: prefixes under the second and third order, and the sets."""
-    spark = owned.sparkSession
-    bits = spark.sparkContext.broadcast(named(pairs.select(F.col("a").alias("class")).union(pairs.select("b"))))
-    shape = "class long, p1 array<int>, p2 array<int>, tokens binary"
+def fetched(owned: DataFrame, pairs: DataFrame, make, shape: str):
+    """(class, ...) of the classes in ``pairs``, each once: what ``make`` gives for packed sets; and the filter to unpersist.
+
+    Dealt by class, so that joins by class don't deal it again.
+    """
+    bits = owned.sparkSession.sparkContext.broadcast(named(pairs.select(F.col("a").alias("class")).union(pairs.select("b"))))
 
     def run(frames):
         import pandas as pd
@@ -251,25 +249,27 @@ def fetched(owned: DataFrame, pairs: DataFrame, shared, percent: int) -> DataFra
             frame = frame[(bits.value[at >> 6] >> (at & 63)) & 1 == 1]
             for a in range(0, len(frame), 200):
                 part = frame.iloc[a : a + 200]
-                tokens = [unpack(x) for x in part["tokens"]]
-                p1, p2 = ([(prefix(x, shared.value, o, percent) >> np.uint64(24)).astype(np.uint32).view(np.int32) for x in tokens] for o in (1, 2))
-                yield pd.DataFrame({"class": part["class"], "p1": p1, "p2": p2, "tokens": part["tokens"]})
+                yield pd.DataFrame({"class": part["class"].tolist()} | make(part["tokens"].tolist()))
 
     rows = owned.where("tokens is not null").select("class", F.pmod(F.xxhash64("class"), F.lit(1 << NAMED)).alias("at"), "tokens")
-    out = materialise(rows.mapInPandas(run, shape).dropDuplicates(["class"]), "jaccard-sets")
-    bits.unpersist()
-    return out
+    return rows.mapInPandas(run, f"class long, {shape}").dropDuplicates(["class"]), bits
 
 
 def links(pairs: DataFrame, owned: DataFrame, shared, percent: int) -> DataFrame:
     """(a, b) of classes, each pair once -> a table of the pairs that link.
 
-    Prefixes under the other two orders meet first; only the sets of pairs that share a token under both are joined to them.
+    Prefixes under the other two orders and all parity bits meet first; only the sets of pairs that share a token under
+    both and that the bits leave open are sent and compared. Of classes outside the pairs nothing is sent.
     """
     spark = owned.sparkSession
-    sets_ = fetched(owned, pairs, shared, percent)
+    pairs = materialise(pairs, "jaccard-pairs")
     tidy(spark)
 
+    def signs(data):
+        tokens = [unpack(x) for x in data]
+        p1, p2 = ([(prefix(x, shared.value, o, percent) >> np.uint64(24)).astype(np.uint32).view(np.int32) for x in tokens] for o in (1, 2))
+        return {"n": [len(x) for x in tokens], "p1": p1, "p2": p2, "wide": [parity(x).tobytes() for x in tokens]}
+
     def run(frames):
         for frame in frames:
             good = np.zeros(len(frame), bool)
@@ -282,11 +282,20 @@ def links(pairs: DataFrame, owned: DataFrame, shared, percent: int) -> DataFrame
                 good[i] = 100 * both >= percent * (len(x_set) + len(y_set) - both)
             yield frame.loc[good, ["a", "b"]]
 
-    side = lambda at, **columns: sets_.select(F.col("class").alias(at), *(F.col(c).alias(name) for name, c in columns.items()))
-    met = pairs.join(side("a", x1="p1", x2="p2"), "a").join(side("b", y1="p1", y2="p2"), "b").where(F.arrays_overlap("x1", "y1") & F.arrays_overlap("x2", "y2"))
-    found = materialise(met.select("a", "b").join(side("a", x="tokens"), "a").join(side("b", y="tokens"), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "jaccard-links")
-    delete(spark, sets_)
+    def side(of, at, **columns):
+        return of.select(F.col("class").alias(at), *(F.col(c).alias(name) for name, c in columns.items()))
+
+    known, bits = fetched(owned, pairs, signs, "n long, p1 array<int>, p2 array<int>, wide binary")
+    met = pairs.join(side(known, "a", x1="p1", x2="p2", n="n", x="wide"), "a").join(side(known, "b", y1="p1", y2="p2", m="n", y="wide"), "b")
+    met = met.where(F.arrays_overlap("x1", "y1") & F.arrays_overlap("x2", "y2")).select("a", "b", "n", "m", "x", "y")
+    left = materialise(met.mapInPandas(alike(percent), "a long, b long"), "jaccard-pairs")
+    bits.unpersist()
     delete(spark, pairs)
+    sets_, bits = fetched(owned, left, lambda data: {"tokens": data}, "tokens binary")
+    met = left.join(side(sets_, "a", x="tokens"), "a").join(side(sets_, "b", y="tokens"), "b").select("a", "b", "x", "y")
+    found = materialise(met.mapInPandas(run, "a long, b long"), "jaccard-links")
+    bits.unpersist()
+    delete(spark, left)
     return found
 
 
@@ -297,19 +306,20 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(a[at] == b)) if len(a) else 0
 
 
-def led(now: DataFrame, step: float, percent: int, dealt: bool) -> DataFrame:
+def led(now: DataFrame, step: float, percent: int, hot: list[tuple[int, int]]) -> DataFrame:
     """(a, b): each class with the leader that most of its lists have, where the two are of different components."""
-    rows = now.withColumn("band", F.floor(F.log("n") / F.lit(step)))
-    one = F.struct("class", "n", "at", "comp")
-    first = lambda: F.min_by(one, F.xxhash64("class"))
-    heads = rows.groupBy("token", "part", "band").agg(first().alias("head"))
-    met = rows.join(heads, ["token", "part", "band"]).select("class", "n", "at", "comp", "head")
-    if dealt:  # the leaders of a list's parts meet in their turn
-        parts = heads.select("token", "band", "head.*")
-        top = parts.groupBy("token", "band").agg(first().alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    rows = now.withColumn("band", F.floor(F.log("n") / F.lit(step)).cast("int"))
+    first = F.min_by(F.struct("class", "n", "at", "comp"), F.xxhash64("class"))
+    met = rows.withColumn("head", first.over(Window.partitionBy("token", "part", "band"))).select("class", "n", "at", "comp", "head")
+    if hot:  # the leaders of a dealt list's parts meet in their turn
+        buckets = F.broadcast(now.sparkSession.createDataFrame(hot, "bucket int, parts int"))  # at most WIDTH / 64 rows
+        parts = rows.join(buckets, F.col("token").bitwiseAND(F.lit(WIDTH - 1)) == F.col("bucket"), "left_semi").groupBy("token", "part", "band").agg(first.alias("head"))
+        parts = parts.select("token", "band", "head.*")
+        top = parts.groupBy("token", "band").agg(first.alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
         met = met.unionByName(parts.join(top, ["token", "band"]).select("class", "n", "at", "comp", "head"))
     met = met.where((F.col("comp") != F.col("head.comp")) & fits(F.col("n"), F.col("head.n"), F.col("at"), F.col("head.at"), percent))
-    votes = met.groupBy("class", F.col("head.class").alias("head")).agg(F.count(F.lit(1)).alias("votes"))
+    # dealt by class once, which serves both counts
+    votes = met.select("class", F.col("head.class").alias("head")).repartition("class").groupBy("class", "head").agg(F.count(F.lit(1)).alias("votes"))
     return votes.groupBy(F.col("class").alias("a")).agg(F.max_by("head", F.struct("votes", "head")).alias("b"))
 
 
@@ -327,17 +337,17 @@ def grouped(owned: DataFrame, shared, percent: int) -> DataFrame:
     now = materialise(shared_lists(posted).drop("parts").withColumn("comp", F.col("class")), "jaccard-lists")
     del posted
     tidy(spark)
-    signs = materialise(owned.where("tokens is not null").select("class", "n", "wide", *_SIGNS).dropDuplicates(["class"]), "jaccard-signs")
+    signs = materialise(owned.where("tokens is not null").select("class", "n", *_SIGNS).dropDuplicates(["class"]), "jaccard-signs")
     side = lambda at, p: signs.select(F.col("class").alias(at), *(F.col(c).alias(p + c) for c in ("n", *_SIGNS)))
 
     step = float(np.log(100 / percent))
     # each class and one leader of its lists
-    pairs = led(now, step, percent, bool(hot)).join(side("a", "x"), "a").join(side("b", "y"), "b").where(near("x", "y", percent))
-    found = [links(alike(pairs.select("a", "b"), signs, percent), owned, shared, percent)]
+    pairs = led(now, step, percent, hot).join(side("a", "x"), "a").join(side("b", "y"), "b").where(near("x", "y", percent))
+    found = [links(pairs.select("a", "b"), owned, shared, percent)]
     labels = spread(found[0], None)
     # lists of a few classes: all their pairs of different components, once
     now = still_open(now.drop("part"), labels)
-    sized = now.join(now.groupBy("token").agg(F.count(F.lit(1)).alias("c")), "token").join(signs.drop("n", "wide"), "class")
+    sized = now.join(now.groupBy("token").agg(F.count(F.lit(1)).alias("c")), "token").join(signs.drop("n"), "class")
     sized = materialise(sized, "jaccard-sized")
     delete(spark, now)
     few, now = apart(sized.where(F.col("c") <= FEW).drop("c"), percent), sized.where(F.col("c") > FEW).drop("c")
@@ -345,8 +355,8 @@ def grouped(owned: DataFrame, shared, percent: int) -> DataFrame:
     turn, some = 0, found[0].count()
     while True:
         pairs = met(now, step, turn, percent)
-        pairs = alike((pairs if turn else pairs.unionByName(few)).distinct(), signs, percent)
-        found.append(links(pairs, owned, shared, percent))
+        pairs = pairs if turn else pairs.unionByName(few)
+        found.append(links(pairs.distinct(), owned, shared, percent))
         labels = spread(reduce(DataFrame.unionByName, found), labels)
         after = still_open(now, labels)
         delete(spark, now if turn else sized)
@@ -355,7 +365,7 @@ def grouped(owned: DataFrame, shared, percent: int) -> DataFrame:
         if new <= some // 100:
             break
     # what is left: pairs of different components in one list, at the tokens that leave it open whether they link
-    found.append(links(alike(apart(now, percent).distinct(), signs, percent), owned, shared, percent))
+    found.append(links(apart(now, percent).distinct(), owned, shared, percent))
     tidy(spark)
     comps = connected_components(reduce(DataFrame.unionByName, found).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     comps = materialise(comps.select(F.col("node").alias("class"), F.col("component").alias("comp")), "jaccard-comps")
@@ -366,13 +376,9 @@ def grouped(owned: DataFrame, shared, percent: int) -> DataFrame:
 
 def still_open(now: DataFrame, labels: DataFrame) -> DataFrame:
     """The lists with the components as ``labels`` know them; those of one component are closed."""
-    spark = now.sparkSession
-    after = now.drop("comp").join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    after = materialise(after.select(now.columns), "jaccard-lists")
+    after = now.drop("comp").join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class")).select(now.columns)
     several = after.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    kept = materialise(after.join(several, "token").select(now.columns), "jaccard-lists")
-    delete(spark, after)
-    return kept
+    return materialise(after.join(several, "token").select(now.columns), "jaccard-lists")
 
 
 def apart(rows: DataFrame, percent: int) -> DataFrame:

@@ -41,3 +41,19 @@ def test_intervals_without_a_stop_or_start(both):
     got, expected = both("interval_coalesce", rows)
     assert got == expected
     assert got[(1, 10, 13, 4)] == 1
+
+
+def test_parity_bits_travel_for_candidate_pairs_only(spark, monkeypatch):
+    from codexa.llm import jaccard
+
+    kept, write = {}, jaccard.materialise
+
+    def noted(df, name):
+        kept.setdefault(name, set()).update(df.columns)
+        return write(df, name)
+
+    monkeypatch.setattr(jaccard, "materialise", noted)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[1:])), (3, "other words that link with nothing here")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.components(docs, 4, 85).collect()} == {1: 1, 2: 1, 3: 3}
+    assert "wide" not in kept["jaccard-owned"] | kept["jaccard-signs"] and "jaccard-sets" not in kept
