@@ -57,3 +57,15 @@ def test_parity_bits_travel_for_candidate_pairs_only(spark, monkeypatch):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[1:])), (3, "other words that link with nothing here")], "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in jaccard.components(docs, 4, 85).collect()} == {1: 1, 2: 1, 3: 3}
     assert "wide" not in kept["jaccard-owned"] | kept["jaccard-signs"] and "jaccard-sets" not in kept
+
+
+def test_nearest_graphic_makes_no_pairs_and_keeps_odd_rows(both):
+    rows = [line(part=p, supp=s, quantity=float(q), status=t) for p, (s, q, t) in enumerate([(1, 3, "O"), (1, 3, "O"), (4, 9, "F"), (4, 9, "F"), (30, 1, None), (45, 50, "O"), (2, 2, "F"), (0, 3, "F")])]
+    rows += [line(part=None, supp=7, status="F"), line(part=None, supp=7), line(part=None, supp=8), line(number=None), line(supp=None), line(order=2), line(part=3, supp=6, status="F", number=5)]
+    got, expected = both("nearest_graphic", rows)
+    assert got == expected and len(got) == 4
+
+
+def test_nearest_graphic_never_joins_boxes_with_boxes(spark):
+    plan = __spark_entry__.queries()["nearest_graphic"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "x#" in plan.split("Join", 1)[1].split("\n")[0]
