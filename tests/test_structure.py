@@ -68,4 +68,4 @@ def test_nearest_graphic_makes_no_pairs_and_keeps_odd_rows(both):
 
 def test_nearest_graphic_never_joins_boxes_with_boxes(spark):
     plan = __spark_entry__.queries()["nearest_graphic"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Join") == 1 and "x#" in plan.split("Join", 1)[1].split("\n")[0]
+    assert plan.count("Join") == 1 and "(x#" in plan.split("Join", 1)[1].split("\n")[0]
