@@ -6,12 +6,12 @@
    other ties, and a random order. Postings of the first order's prefixes find the candidates. A candidate pair must pass
    the length and place bounds, must not differ in too many parity bits (a lower bound of the sets' difference), and must
    share a prefix token under the other two orders as well, before the sets are sent anywhere and compared.
-3. Pairs within a posting list are never all made, but for lists of ``FEW`` classes at most. Each class is compared with
-   the leader that most of its lists have; links join classes into components, and lists of one component are closed.
-   In the long lists left, classes meet ``FEW`` leaders of other components in rounds, for as long as this finds
-   more than single links. What is left then are classes that link with nearly none of their lists' others; their pairs
-   of *different* components are all filtered and compared, so no link between different texts is lost that could change
-   a component.
+3. Each class is compared with the leader that most of its lists have; links join classes into components, and lists of
+   one component are closed. The pairs of *different* components in the lists left are all filtered, and compared if
+   the filters leave them open, so no link between different texts is lost that could change a component. Only where those
+   lists hold too many pairs for that (``WHOLE``, ``EACH``) do classes of the long ones first meet ``FEW`` leaders of
+   other components in rounds, for as long as this finds more than single links; rounds cost many small stages.
+4. Up to ``LOCAL`` links are joined into components on the driver, and the labels are broadcast; more by rounds of joins.
 
 Token counts come from a table of fixed width over hashed tokens, added up over all documents: any count works, as it
 only sets the order, and the number of parts that a frequent token's list is dealt into. Sets hold 56 bits of each
@@ -36,6 +36,8 @@ from codexa.llm.graph import connected_components
 from codexa.llm.words import mix, scan, shingles
 
 WIDTH, PIECE, BYTES, SIGNS, SALTS, NAMED, FEW = 1 << 20, 1 << 14, 7, 8, 16, 24, 8
+#: Pairs in lists that are all filtered without leader rounds: so many in all, or for each posting. Links held on the driver.
+WHOLE, EACH, LOCAL = 1 << 26, 256, 1 << 19
 _MASK = np.uint64((1 << 8 * BYTES) - 1)
 _SIGNS = [f"s{k}" for k in range(SIGNS)]
 
@@ -223,14 +225,29 @@ def alike(percent: int):
     return run
 
 
-def named(classes: DataFrame) -> np.ndarray:
-    """A filter of 2 ** NAMED bits of the classes: its size is fixed, and it only saves reading other classes' sets."""
-    at = F.pmod(F.xxhash64("class"), F.lit(1 << NAMED))
-    words = classes.select(F.shiftrightunsigned(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(class), {1 << NAMED}) & 63 as int))").alias("b"))
-    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).collect()  # at most 2 ** (NAMED - 6) rows
-    out = np.zeros(1 << (NAMED - 6), np.int64)
-    for row in found:
-        out[row["w"]] = row["b"]
+def named(pairs: DataFrame) -> np.ndarray:
+    """A filter of 2 ** NAMED bits of the classes in ``pairs``: its size is fixed, and it only saves reading other classes' sets.
+
+    At most 16 tasks make one each, packed, so that nothing is shuffled for it.
+    """
+
+    def run(frames):
+        import zlib
+
+        import pandas as pd
+
+        there = np.zeros(1 << NAMED, bool)
+        for frame in frames:
+            for c in frame.columns:
+                there[frame[c].to_numpy()] = True
+        yield pd.DataFrame({"bits": [zlib.compress(np.packbits(there, bitorder="little").tobytes(), 1)]})
+
+    import zlib
+
+    at = pairs.select(*(F.pmod(F.xxhash64(c), F.lit(1 << NAMED)).alias(c) for c in ("a", "b")))
+    out = np.zeros(1 << (NAMED - 3), np.uint8)
+    for row in at.coalesce(min(16, pairs.sparkSession.sparkContext.defaultParallelism)).mapInPandas(run, "bits binary").collect():  # at most 16 rows
+        out |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
     return out
 
 
@@ -239,14 +256,14 @@ def fetched(owned: DataFrame, pairs: DataFrame, make, shape: str):
 
     Dealt by class, so that joins by class don't deal it again.
     """
-    bits = owned.sparkSession.sparkContext.broadcast(named(pairs.select(F.col("a").alias("class")).union(pairs.select("b"))))
+    bits = owned.sparkSession.sparkContext.broadcast(named(pairs))
 
     def run(frames):
         import pandas as pd
 
         for frame in frames:
             at = frame["at"].to_numpy()
-            frame = frame[(bits.value[at >> 6] >> (at & 63)) & 1 == 1]
+            frame = frame[(bits.value[at >> 3] >> (at & 7)) & 1 == 1]
             for a in range(0, len(frame), 200):
                 part = frame.iloc[a : a + 200]
                 yield pd.DataFrame({"class": part["class"].tolist()} | make(part["tokens"].tolist()))
@@ -323,8 +340,8 @@ def led(now: DataFrame, step: float, percent: int, hot: list[tuple[int, int]]) -
     return votes.groupBy(F.col("class").alias("a")).agg(F.max_by("head", F.struct("votes", "head")).alias("b"))
 
 
-def grouped(owned: DataFrame, shared, percent: int) -> DataFrame:
-    """(class, comp): the components that links join classes into; classes without links have no row."""
+def grouped(owned: DataFrame, shared, percent: int) -> tuple[DataFrame, int]:
+    """(class, comp): the components that links join classes into; classes without links have no row. And the number of links."""
     spark = owned.sparkSession
     hot = frequent(shared.value)
     posted = postings(owned, shared, percent)
@@ -344,41 +361,86 @@ def grouped(owned: DataFrame, shared, percent: int) -> DataFrame:
     # each class and one leader of its lists
     pairs = led(now, step, percent, hot).join(side("a", "x"), "a").join(side("b", "y"), "b").where(near("x", "y", percent))
     found = [links(pairs.select("a", "b"), owned, shared, percent)]
-    labels = spread(found[0], None)
-    # lists of a few classes: all their pairs of different components, once
-    now = still_open(now.drop("part"), labels)
-    sized = now.join(now.groupBy("token").agg(F.count(F.lit(1)).alias("c")), "token").join(signs.drop("n"), "class")
-    sized = materialise(sized, "jaccard-sized")
+    some = found[0].count()
+    labels = labelled(found, None, some)
+    sized = still_open(now.drop("part"), hinted(labels, some), signs)
     delete(spark, now)
-    few, now = apart(sized.where(F.col("c") <= FEW).drop("c"), percent), sized.where(F.col("c") > FEW).drop("c")
-    # long lists: FEW leaders each, as long as that finds more than single links
-    turn, some = 0, found[0].count()
-    while True:
+    now = sized
+    turn, few = 0, None
+    # where all pairs of the lists would be too many: FEW leaders each in the long lists, as long as that finds more than single links
+    while crowded(now):
+        if not turn:  # lists of a few classes: all their pairs, once
+            few, now = apart(sized.where(F.col("c") <= FEW), percent), sized.where(F.col("c") > FEW)
         pairs = met(now, step, turn, percent)
         pairs = pairs if turn else pairs.unionByName(few)
         found.append(links(pairs.distinct(), owned, shared, percent))
-        labels = spread(reduce(DataFrame.unionByName, found), labels)
-        after = still_open(now, labels)
-        delete(spark, now if turn else sized)
-        now, turn, new = after, turn + 1, found[-1].count()
+        new = found[-1].count()
         some += new
+        labels = labelled(found, labels, some)
+        after = still_open(now.drop("c", *_SIGNS), hinted(labels, some), signs)
+        delete(spark, now if turn else sized)
+        now, turn = after, turn + 1
         if new <= some // 100:
             break
-    # what is left: pairs of different components in one list, at the tokens that leave it open whether they link
+    # the pairs of different components in one list, at the tokens that leave it open whether they link
     found.append(links(apart(now, percent).distinct(), owned, shared, percent))
+    some += found[-1].count()
     tidy(spark)
-    comps = connected_components(reduce(DataFrame.unionByName, found).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    comps = materialise(comps.select(F.col("node").alias("class"), F.col("component").alias("comp")), "jaccard-comps")
+    if some <= LOCAL:
+        comps = labelled(found, None, some)
+    else:
+        comps = connected_components(reduce(DataFrame.unionByName, found).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        comps = materialise(comps.select(F.col("node").alias("class"), F.col("component").alias("comp")), "jaccard-comps")
     for done in (now, signs, labels, *found):
         delete(spark, done)
-    return comps
+    return comps, some
 
 
-def still_open(now: DataFrame, labels: DataFrame) -> DataFrame:
-    """The lists with the components as ``labels`` know them; those of one component are closed."""
+def still_open(now: DataFrame, labels: DataFrame, signs: DataFrame) -> DataFrame:
+    """The lists with the components as ``labels`` know them, their lengths and signs; those of one component are closed."""
     after = now.drop("comp").join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class")).select(now.columns)
-    several = after.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    return materialise(after.join(several, "token").select(now.columns), "jaccard-lists")
+    several = after.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("c")).where("low < high")
+    return materialise(after.join(several.select("token", "c"), "token").join(signs.drop("n"), "class"), "jaccard-lists")
+
+
+def crowded(now: DataFrame) -> bool:
+    """Whether the lists hold too many pairs to filter them all."""
+    row = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c") - 1).alias("twice")).first()
+    return (row["twice"] or 0) // 2 > WHOLE + EACH * row["n"]
+
+
+def hinted(labels: DataFrame, some: int) -> DataFrame:
+    """Labels of up to ``LOCAL`` links are broadcast."""
+    return F.broadcast(labels) if some <= LOCAL else labels
+
+
+def labelled(found: list[DataFrame], before: DataFrame | None, some: int) -> DataFrame:
+    """(class, comp) for the classes of all ``some`` links so far: whole components if the driver can hold them, else :func:`spread`."""
+    links_ = reduce(DataFrame.unionByName, found)
+    if some > LOCAL:
+        return spread(links_, before)
+    import pyarrow as pa
+
+    spark = links_.sparkSession
+    held = links_.select("a", "b").toArrow()  # at most LOCAL rows
+    names, comps = joined(held["a"].to_numpy(), held["b"].to_numpy())
+    rows = spark.createDataFrame(pa.table({"class": names, "comp": comps})) if len(names) else spark.createDataFrame([], "class long, comp long")
+    labels = materialise(rows.coalesce(1), "jaccard-labels")
+    if before is not None:
+        delete(spark, before)
+    return labels
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (a, b), and the least node of each one's component."""
+    nodes, at = np.unique(np.concatenate([a, b]).astype(np.int64), return_inverse=True)
+    label, src, dst = np.arange(len(nodes)), at[: len(a)], at[len(a) :]
+    while (label[src] != label[dst]).any():
+        x, y = label[src], label[dst]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
+    return nodes, nodes[label]
 
 
 def apart(rows: DataFrame, percent: int) -> DataFrame:
@@ -426,10 +488,10 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     owned = materialise(sets(docs, k), "jaccard-owned")
     shared = spark.sparkContext.broadcast(token_counts(owned))  # WIDTH counts, whatever the input
-    comps = grouped(owned, shared, percent)
+    comps, some = grouped(owned, shared, percent)
     rows = owned.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
     names = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    names = names.join(comps, "class", "left").withColumn("linked", F.col("comp").isNotNull()).withColumn("comp", F.coalesce("comp", "class"))
+    names = names.join(hinted(comps, some), "class", "left").withColumn("linked", F.col("comp").isNotNull()).withColumn("comp", F.coalesce("comp", "class"))
     lowest = names.groupBy("comp").agg(F.min("least").alias("component_id"))
     # only classes of several documents or with links need their name brought to them; it is, to each of SALTS parts of a class
     known = names.where("linked or copies > 1").join(lowest, "comp").select("class", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

@@ -75,6 +75,48 @@ def test_large_group_of_near_copies(spark, monkeypatch, dealt):
     assert got == brute(rows, 5, 80)
 
 
+def near_copies():
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 900)}" for _ in range(110)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = f"v{rng.randint(0, 50)}"
+        rows.append((i * 2 + 5, " ".join(words)))
+    return rows + [(1000 + i, " ".join(f"u{rng.randint(0, 900)}" for _ in range(90))) for i in range(10)]
+
+
+def test_pairs_of_short_lists_are_compared_at_once(spark, monkeypatch):
+    """Leaders once, then all pairs left: rounds of many small stages are for lists with too many pairs only."""
+    rows, calls, links = near_copies(), [], jaccard.links
+    monkeypatch.setattr(jaccard, "links", lambda *a: calls.append(1) or links(*a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components(docs, 5, 80).collect()} == brute(rows, 5, 80)
+    assert len(calls) == 2
+
+
+def test_rounds_and_joins_of_large_inputs(spark, monkeypatch):
+    """What lists with too many pairs and links beyond the driver's go through, by limits that any input is over."""
+    for name in ("WHOLE", "LOCAL"):
+        monkeypatch.setattr(jaccard, name, -1)
+    monkeypatch.setattr(jaccard, "EACH", 0)
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components(docs, 5, 80).collect()} == brute(rows, 5, 80)
+
+
+def test_least_nodes_on_the_driver():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40, 400):
+        a, b = rng.integers(-300, 300, n), rng.integers(-300, 300, n)
+        least = {int(x): int(x) for x in [*a, *b]}
+        for _ in range(n):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                least[x] = least[y] = min(least[x], least[y])
+        assert dict(zip(*(x.tolist() for x in jaccard.joined(a, b)), strict=True)) == least
+
+
 def test_parity_bits_bound_the_difference():
     rng = np.random.default_rng(2)
     for n in (1, 9, 300, 4000):
