@@ -6,7 +6,7 @@
    other ties, and a random order. Postings of the first order's prefixes find the candidates. A candidate pair must pass
    the length and place bounds, must not differ in too many parity bits (a lower bound of the sets' difference), and must
    share a prefix token under the other two orders as well, before the sets are sent anywhere and compared.
-3. Each class is compared with the leader that most of its lists have; links join classes into components, and lists of
+3. Each class is compared with the ``HEADS`` leaders that most of its lists have; links join classes into components, and lists of
    one component are closed. The pairs of *different* components in the lists left are all filtered, and compared if
    the filters leave them open, so no link between different texts is lost that could change a component. Only where those
    lists hold too many pairs for that (``WHOLE``, ``EACH``) do classes of the long ones first meet ``FEW`` leaders of
@@ -35,7 +35,7 @@ from codexa.llm.common import delete, gather, map_texts, materialise, pieces, pr
 from codexa.llm.graph import connected_components
 from codexa.llm.words import mix, scan, shingles
 
-WIDTH, PIECE, BYTES, SIGNS, SALTS, NAMED, FEW = 1 << 20, 1 << 14, 7, 8, 16, 24, 8
+WIDTH, PIECE, BYTES, SIGNS, SALTS, NAMED, FEW, HEADS = 1 << 20, 1 << 14, 7, 8, 16, 24, 8, 4
 #: Pairs in lists that are all filtered without leader rounds: so many in all, or for each posting. Links held on the driver.
 WHOLE, EACH, LOCAL = 1 << 26, 256, 1 << 19
 _MASK = np.uint64((1 << 8 * BYTES) - 1)
@@ -324,7 +324,7 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def led(now: DataFrame, step: float, percent: int, hot: list[tuple[int, int]]) -> DataFrame:
-    """(a, b): each class with the leader that most of its lists have, where the two are of different components."""
+    """(a, b): each class with the ``HEADS`` leaders that most of its lists have, where the two are of different components."""
     rows = now.withColumn("band", F.floor(F.log("n") / F.lit(step)).cast("int"))
     first = F.min_by(F.struct("class", "n", "at", "comp"), F.xxhash64("class"))
     met = rows.withColumn("head", first.over(Window.partitionBy("token", "part", "band"))).select("class", "n", "at", "comp", "head")
@@ -337,7 +337,9 @@ def led(now: DataFrame, step: float, percent: int, hot: list[tuple[int, int]]) -
     met = met.where((F.col("comp") != F.col("head.comp")) & fits(F.col("n"), F.col("head.n"), F.col("at"), F.col("head.at"), percent))
     # dealt by class once, which serves both counts
     votes = met.select("class", F.col("head.class").alias("head")).repartition("class").groupBy("class", "head").agg(F.count(F.lit(1)).alias("votes"))
-    return votes.groupBy(F.col("class").alias("a")).agg(F.max_by("head", F.struct("votes", "head")).alias("b"))
+    # no more leaders than the class has lists
+    most = votes.groupBy("class").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", "head")), asc=False), 1, HEADS).alias("most"))
+    return most.select(F.col("class").alias("a"), F.explode("most.head").alias("b"))
 
 
 def grouped(owned: DataFrame, shared, percent: int) -> tuple[DataFrame, int]:
@@ -358,7 +360,7 @@ def grouped(owned: DataFrame, shared, percent: int) -> tuple[DataFrame, int]:
     side = lambda at, p: signs.select(F.col("class").alias(at), *(F.col(c).alias(p + c) for c in ("n", *_SIGNS)))
 
     step = float(np.log(100 / percent))
-    # each class and one leader of its lists
+    # each class and a few leaders of its lists
     pairs = led(now, step, percent, hot).join(side("a", "x"), "a").join(side("b", "y"), "b").where(near("x", "y", percent))
     found = [links(pairs.select("a", "b"), owned, shared, percent)]
     some = found[0].count()

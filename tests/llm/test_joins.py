@@ -106,6 +106,14 @@ def test_rounds_and_joins_of_large_inputs(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components(docs, 5, 80).collect()} == brute(rows, 5, 80)
 
 
+def test_several_leaders_of_a_class(spark):
+    """The leader of most lists may not link with a class where another does."""
+    x, y, last = (r["id"] for r in spark.range(3).selectExpr("id", "xxhash64(id) h").orderBy("h").collect())
+    rows = [(t, c, 100, 0, 0, c) for t, pair in enumerate([(x, last), (x, last), (y, last)]) for c in pair]
+    now = spark.createDataFrame(rows, "token long, class long, n int, at int, part int, comp long")
+    assert {tuple(r) for r in jaccard.led(now, float(np.log(100 / 85)), 85, []).collect()} == {(last, x), (last, y)}
+
+
 def test_least_nodes_on_the_driver():
     rng = np.random.default_rng(3)
     for n in (0, 1, 40, 400):
