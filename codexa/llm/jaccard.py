@@ -7,10 +7,13 @@
    the length and place bounds, must not differ in too many parity bits (a lower bound of the sets' difference), and must
    share a prefix token under the other two orders as well, before the sets are sent anywhere and compared.
 3. Each class is compared with the ``HEADS`` leaders that most of its lists have; links join classes into components, and lists of
-   one component are closed. The pairs of *different* components in the lists left are all filtered, and compared if
-   the filters leave them open, so no link between different texts is lost that could change a component. Only where those
-   lists hold too many pairs for that (``WHOLE``, ``EACH``) do classes of the long ones first meet ``FEW`` leaders of
-   other components in rounds, for as long as this finds more than single links; rounds cost many small stages.
+   one component are closed. A list is led by the class that has the fewest tokens before the list's own: what a copy changed
+   is rare and stands before what it shares, so this is the middle of a group of near copies, which links with more of them
+   than a class taken at random (two copies differ by the changes of both). The pairs of *different* components in the
+   lists left are all filtered, and compared if the filters leave them open, so no link between different texts is lost
+   that could change a component. Only where those lists hold too many pairs for that (``WHOLE``, ``EACH``) do classes of
+   the long ones first meet ``FEW`` leaders of other components in rounds, for as long as this finds more than single
+   links; rounds cost many small stages.
 4. Up to ``LOCAL`` links are joined into components on the driver, and the labels are broadcast; more by rounds of joins.
 
 Token counts come from a table of fixed width over hashed tokens, added up over all documents: any count works, as it
@@ -324,9 +327,12 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def led(now: DataFrame, step: float, percent: int, hot: list[tuple[int, int]]) -> DataFrame:
-    """(a, b): each class with the ``HEADS`` leaders that most of its lists have, where the two are of different components."""
+    """(a, b): each class with the ``HEADS`` leaders that most of its lists have, where the two are of different components.
+
+    The class whose prefix reaches the list's token first leads; ties by a hash.
+    """
     rows = now.withColumn("band", F.floor(F.log("n") / F.lit(step)).cast("int"))
-    first = F.min_by(F.struct("class", "n", "at", "comp"), F.xxhash64("class"))
+    first = F.min_by(F.struct("class", "n", "at", "comp"), F.struct("at", F.xxhash64("class")))
     met = rows.withColumn("head", first.over(Window.partitionBy("token", "part", "band"))).select("class", "n", "at", "comp", "head")
     if hot:  # the leaders of a dealt list's parts meet in their turn
         buckets = F.broadcast(now.sparkSession.createDataFrame(hot, "bucket int, parts int"))  # at most WIDTH / 64 rows

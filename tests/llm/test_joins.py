@@ -114,6 +114,25 @@ def test_several_leaders_of_a_class(spark):
     assert {tuple(r) for r in jaccard.led(now, float(np.log(100 / 85)), 85, []).collect()} == {(last, x), (last, y)}
 
 
+def test_the_middle_of_a_group_leads(spark, monkeypatch):
+    """Copies that link with the text they were made of, not with each other, all meet it: nothing is left for the pairs of lists."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 41):
+        words = list(base)
+        for at in rng.sample(range(4, 146), 2):
+            words[at] = f"v{i}-{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(f"u{rng.randint(0, 900)}" for _ in range(90))) for i in range(5)]
+    found, links = [], jaccard.links
+    monkeypatch.setattr(jaccard, "links", lambda *a: found.append(links(*a)) or found[-1])
+    monkeypatch.setattr(jaccard, "delete", lambda *a: None)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components(docs, 4, 85).collect()} == brute(rows, 4, 85)
+    assert [f.count() >= 40 for f in found] == [True, False] and found[1].count() == 0
+
+
 def test_least_nodes_on_the_driver():
     rng = np.random.default_rng(3)
     for n in (0, 1, 40, 400):
