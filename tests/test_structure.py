@@ -69,3 +69,24 @@ def test_nearest_graphic_makes_no_pairs_and_keeps_odd_rows(both):
 def test_nearest_graphic_never_joins_boxes_with_boxes(spark):
     plan = __spark_entry__.queries()["nearest_graphic"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "(x#" in plan.split("Join", 1)[1].split("\n")[0]
+
+
+def test_connected_boxes_on_odd_rows_and_over_the_ends_of_lists(both):
+    rows = [line(part=p, supp=p % 47, quantity=float(p % 50 + 1), status="F") for p in range(1100)]
+    rows += [line(part=p, supp=p % 31, quantity=float(p % 9), status=t) for p, t in enumerate(["O", "O", "F", None] * 5)]
+    rows += [line(part=3, supp=7, status="F")] * 3 + [line(part=3, supp=7)] * 2
+    for status in "OF":
+        rows += [line(order=None, status=status), line(number=None, status=status), line(part=None, status=status), line(supp=None, status=status), line(quantity=None, status=status)]
+        rows += [line(order=2, number=n, quantity=q, status=status) for n, q in ((1, 1.0), (2, 500.0), (4, 9.0))]
+    rows += [line(order=3), line(order=4, status="F"), line(order=502, status="F")]
+    got, expected = both("connected_boxes", rows)
+    assert got == expected and sum(got.values()) > 12_000
+    assert both("connected_boxes", [line()]) == (Counter(), Counter())
+
+
+def test_connected_boxes_of_a_large_page_take_little_disk(spark, tmp_path):
+    rows = [line(part=p, supp=p * 7, quantity=float(p * 3 % 50 + 1), status="OF"[p % 2]) for p in range(3000)]
+    spark.createDataFrame(rows, LINE).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    __spark_entry__.queries()["connected_boxes"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 1500 * 1500
+    assert sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet")) < 1500 * 1500 / 2
